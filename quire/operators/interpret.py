@@ -65,7 +65,7 @@ class Interpreter:
     """Runs content streams of one document. `fonts` overrides resources by name."""
 
     def __init__(self, doc: Document | None, fonts: dict[str, Font] | None = None):
-        self.doc, self.override, self.loaded = doc, fonts or {}, {}
+        self.doc, self.override, self.loaded, self.codes = doc, fonts or {}, {}, {}
 
     def run(self, data: bytes, resources: dict) -> list[Glyph | Graphic]:
         self.items: list[Glyph | Graphic] = []
@@ -129,15 +129,22 @@ class Interpreter:
             return
         start = self.rendering()
         ox, oy = apply(start, 0, 0)
-        text = []
+        known, text = self.codes.setdefault(id(font), (font, {}))[1], []
+        a, b, c, d, e, f = self.matrix
+        size, chars, words, stretch = s.size, s.char_space, s.word_space, s.stretch
+        vertical, blank = font.wmode == 1, 32 if font.code_bytes == 1 else -1
         for code in font.codes(data):
-            text.append(font.text(code))
-            if font.wmode == 1:
-                step = (0.0, font.height(code) / 1000 * s.size + s.char_space + s.word_space)
+            if code not in known:
+                known[code] = font.text(code), (font.height(code) if vertical else font.width(code)) / 1000
+            shown, advance = known[code]
+            text.append(shown)
+            if vertical:
+                step = advance * size + chars + words
+                e, f = step * c + e, step * d + f
             else:
-                space = s.word_space if font.code_bytes == 1 and code == 32 else 0.0
-                step = ((font.width(code) / 1000 * s.size + s.char_space + space) * s.stretch, 0.0)
-            self.matrix = multiply(translate(*step), self.matrix)
+                step = (advance * size + chars + (words if code == blank else 0.0)) * stretch
+                e, f = step * a + e, step * b + f
+        self.matrix = (a, b, c, d, e, f)
         ex, ey = apply(self.rendering(), 0, 0)
         width = ((ex - ox) * (ex - ox) + (ey - oy) * (ey - oy)) ** 0.5
         mcid = next((m for m in reversed(self.marks) if m is not None), None)
