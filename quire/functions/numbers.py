@@ -36,17 +36,7 @@ def surrogates(high: int, low: int) -> int:
 
 def utf16_codes(data: Sequence[int]) -> list[int]:
     """Code points of UTF-16BE bytes; unpaired surrogates stay as they are."""
-    units, out = pairs(data), []
-    k = 0
-    while k < len(units):
-        u = units[k]
-        if 0xD800 <= u < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1] < 0xE000:
-            out.append(surrogates(u, units[k + 1]))
-            k += 2
-        else:
-            out.append(u)
-            k += 1
-    return out
+    return list(map(ord, bytes(data[: len(data) // 2 * 2]).decode("utf-16-be", "surrogatepass")))
 
 
 def sjis_codes(data: Sequence[int]) -> list[int]:
