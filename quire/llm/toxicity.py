@@ -1,26 +1,37 @@
 """Operator 1: toxicity by cumulative-link ordinal regression over sparse text features.
 
-Grades: 0 for documents labelled clean; documents labelled toxic get the grades 1 to GRADES by the share of their words that occurs more in toxic than in clean labelled documents. One weight vector over words serves all thresholds: P(grade >= k) = s(w.x - b_k) with b_1 <= b_2 <= ... The features of a document are the words of the learned vocabulary, each valued log(1 + count), so length alone says little. The expected severity is the sum of these probabilities; a document is toxic where P(grade >= 1) is over one half.
+Grades: 0 for documents labelled clean; documents labelled toxic get the grades 1 to GRADES by how much of what is significantly more frequent in toxic than in clean labelled documents they hold. One weight vector serves all ordered thresholds: P(grade >= k) = s(w.x - c_k) with c_1 < c_2 < ... Features are words and the beginnings of words (compounds of an abusive stem are rare one by one), each valued log2(1 + count), and the text's length, so that one hit weighs less in a long text. The expected severity is the sum of these probabilities; a document is toxic where P(grade >= 1) is over one half.
 
 Fitting uses a bounded sample of labelled rows (SAMPLE_ROWS, picked by the hash of the id). The executors cut its texts into word counts; the driver fits in numpy. Scoring reads every whole text.
 
-Edge cases: a null or empty text has no features and gets the base severity, not toxic. Rows without an id or a label are not learned from; an id that is labelled more than once counts as toxic if any label is. With no toxic or no clean label nothing is toxic and the severity is 0. Repeated rows give equal rows; other columns are not read.
+Edge cases: a text without any of the features, null and empty ones included, has severity 0. Rows without an id or a label are not learned from; an id that is labelled more than once counts as toxic if any label is. With no toxic or no clean label nothing is toxic and the severity is 0. Repeated rows give equal rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow
 
-#: Labelled rows that fitting uses at most, distinct words of each that the driver gets at most, words in the model, documents that a word must occur in.
-SAMPLE_ROWS, SAMPLE_WORDS, VOCABULARY, LEAST_DOCS, GRADES = 8000, 4000, 20_000, 4, 3
+#: Labelled rows that fitting uses at most, distinct words of each that the driver gets at most, features of the model, toxic documents that a feature must occur in, and the likelihood ratio (twice its logarithm) by which its frequency must differ: so high that chance among some hundred thousand features hardly reaches it.
+SAMPLE_ROWS, SAMPLE_WORDS, VOCABULARY, LEAST_DOCS, SIGNIFICANT, GRADES = 8000, 4000, 20_000, 4, 25.0, 3
+#: Lengths of beginnings, and how many words' features a scorer keeps.
+BEGINNINGS, KEPT = (5, 6, 7, 8), 200_000
 WORDS = re.compile(r"[^\W\d_]+").findall
+#: The feature that holds the number of words; no word is empty.
+LENGTH = ""
+
+
+def features(word: str) -> list[str]:
+    return [word, *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n)]
 
 
 class Model(NamedTuple):
@@ -29,12 +40,40 @@ class Model(NamedTuple):
 
     def scores(self, texts: list[str | None]) -> list[list[float]]:
         """P(grade >= k) for each k, for each text."""
-        w = self.weights
-        z = np.array([sum(w[t] * np.log1p(n) for t, n in Counter(filter(w.__contains__, WORDS(x.lower()))).items()) if x else 0.0 for x in texts], np.float64)
+        own: dict[str, tuple] = {}
+        z = np.full(len(texts), -np.inf)
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            found: dict[str, int] = {}
+            words = Counter(WORDS(text.lower()))
+            total = sum(words.values())
+            for word, n in words.items():
+                if (known := own.get(word)) is None:
+                    if len(own) >= KEPT:
+                        own.clear()
+                    own[word] = known = tuple(f for f in features(word) if f in self.weights)
+                for f in known:
+                    found[f] = found.get(f, 0) + n
+            if found:
+                z[i] = sum(self.weights[f] * math.log2(1 + n) for f, n in found.items()) + self.weights.get(LENGTH, 0.0) * math.log2(1 + total)
         return (1 / (1 + np.exp(np.clip(np.array(self.cuts) - z[:, None], -500, 500)))).tolist() if self.cuts else [[0.0] for _ in texts]
 
 
-def labelled_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[int, list[str], list[int]]]:
+class Sample:
+    """(label, words, counts) of each row of an Arrow table, a row at a time, as often as it is asked for."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __iter__(self) -> Iterator[tuple[int, list[str], list[int]]]:
+        for batch in self.table.to_batches():
+            for k in range(batch.num_rows):
+                label, words, counts = (c[k].as_py() for c in batch.columns)
+                yield int(label > 0), words, counts
+
+
+def labelled_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> Sample:
     """(label, words, counts) of the sample: the words of a text in order of first use, SAMPLE_WORDS distinct ones at most."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     picked = known.orderBy(F.xxhash64(F.col(id_col), F.lit(11)), id_col).limit(rows)
@@ -49,44 +88,56 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = map_arrow(texts.select(id_col, "_label", "_text"), make, f"`{id_col}` {kind}, label int, words array<string>, counts array<int>", text="_text")
-    got = out.dropDuplicates([id_col]).orderBy(F.xxhash64(F.col(id_col), F.lit(11)), id_col).collect()
-    return [(int(r[1] > 0), r[2], r[3]) for r in got]
+    return Sample(out.dropDuplicates([id_col]).orderBy(F.xxhash64(F.col(id_col), F.lit(11)), id_col).select("label", "words", "counts").toArrow())
 
 
-def fit(sample: list[tuple[int, list[str], list[int]]], grades: int = GRADES, ridge: float = 1.0, steps: int = 150) -> Model:
-    """Cumulative-link model by gradient ascent with momentum over the sparse features."""
+def fit(sample: Iterable[tuple[int, list[str], list[int]]], grades: int = GRADES, ridge: float = 0.02, steps: int = 800, rate: float = 0.05) -> Model:
+    """Maximum likelihood with a ridge by Adam over the sparse features. For logistic thresholds the derivative of log P(grade = g) by w.x is 1 - P(grade >= g) - P(grade >= g + 1)."""
     y = np.array([s[0] for s in sample], np.int64)
     if not len(y) or y.min() == y.max():
         return Model({}, ())
-    seen, bad = Counter(w for _, words, _ in sample for w in words), Counter(w for l, words, _ in sample if l for w in words)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    lift = {w: np.log((bad[w] + 0.5) / (n1 + 1)) - np.log((n - bad[w] + 0.5) / (n0 + 1)) for w, n in seen.items() if n >= LEAST_DOCS}
-    words = sorted(lift, key=lambda w: (-abs(lift[w]) * np.sqrt(seen[w]), w))[:VOCABULARY]
-    place = {w: k for k, w in enumerate(words)}
-    rows, cols, vals, evidence = [], [], [], np.zeros(len(y))
-    for i, (_, own, counts) in enumerate(sample):
-        for w, c in zip(own, counts, strict=True):
-            if (k := place.get(w)) is not None:
-                rows.append(i), cols.append(k), vals.append(np.log1p(c))
-                evidence[i] += c * (lift[w] > np.log(4))
-        evidence[i] /= max(1, sum(counts))
-    rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals)
+    # Only features of some toxic documents can be chosen, so only those are counted at all.
+    bad = Counter(f for l, words, _ in sample if l for f in {f for w in words for f in features(w)})
+    bad = {f: n for f, n in bad.items() if n >= LEAST_DOCS}
+    seen = Counter(f for _, words, _ in sample for f in {f for w in words for f in features(w) if f in bad})
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    lift = {f: math.log((bad[f] + 0.5) / (n1 + 1)) - math.log((n - bad[f] + 0.5) / (n0 + 1)) for f, n in seen.items()}
+    base = n1 / len(y)
+    strength = {f: 2 * sum(k * math.log(k / (seen[f] * share)) for k, share in ((bad[f], base), (seen[f] - bad[f], 1 - base)) if k) for f, x in lift.items() if x > 0}
+    names = sorted((f for f, g in strength.items() if g >= SIGNIFICANT), key=lambda f: (-strength[f], f))[:VOCABULARY]
+    names += [LENGTH] if names else []
+    place = {f: k for k, f in enumerate(names)}
+    strong = {f for f in names[:-1] if lift[f] > math.log(4) and not f.startswith("^")}
+    flat, evidence = [], np.zeros(len(y))
+    for i, (_, words, n) in enumerate(sample):
+        found: dict[str, int] = {}
+        for w, c in zip(words, n, strict=True):
+            for f in features(w):
+                if f in place:
+                    found[f] = found.get(f, 0) + c
+        flat += [(i, place[f], math.log2(1 + c)) for f, c in found.items()] + ([(i, place[LENGTH], math.log2(1 + sum(n)))] if names else [])
+        evidence[i] = sum(math.log2(1 + c) for f, c in found.items() if f in strong)
+    rows, cols, vals = (np.array([x[k] for x in flat], t) for k, t in enumerate((np.int64, np.int64, np.float64)))
     inner = np.quantile(evidence[y > 0], np.arange(1, grades) / grades) if grades > 1 else np.zeros(0)
     grade = np.where(y > 0, 1 + np.searchsorted(inner, evidence, side="left"), 0)
     grades = int(grade.max())
-    at_least = (grade[:, None] >= np.arange(1, grades + 1)).astype(float)
-    w, cuts = np.zeros(len(words)), np.log((1 - at_least.mean(0) + 1e-3) / (at_least.mean(0) + 1e-3))
-    # Each threshold is a logistic model of the same weights; steps are scaled by each feature's curvature bound.
-    curve = np.bincount(cols, vals**2, len(words)) * grades / 4 * 4 + ridge
-    speed_w, speed_c = np.zeros_like(w), np.zeros_like(cuts)
-    for _ in range(steps):
+    share = (grade[:, None] >= np.arange(1, grades + 1)).mean(0)
+    theta = np.r_[np.zeros(len(names)), np.log((1 - share + 1e-3) / (share + 1e-3))]
+    first, second, each = np.zeros_like(theta), np.zeros_like(theta), np.arange(len(y))
+    for t in range(1, steps + 1):
+        w, cuts = theta[: len(names)], theta[len(names) :]
         z = np.bincount(rows, w[cols] * vals, len(y))
-        p = 1 / (1 + np.exp(np.clip(cuts - z[:, None], -500, 500)))
-        gap = at_least - p
-        speed_w = 0.9 * speed_w + 0.1 * (np.bincount(cols, gap.sum(1)[rows] * vals, len(words)) - ridge * w) / curve
-        speed_c = 0.9 * speed_c + 0.1 * -gap.sum(0) / (len(y) / 4)
-        w, cuts = w + speed_w, np.maximum.accumulate(cuts + speed_c)
-    return Model({t: float(x) for t, x in zip(words, w, strict=True) if abs(x) > 1e-4}, tuple(map(float, cuts)))
+        above = np.c_[np.ones(len(y)), 1 / (1 + np.exp(np.clip(cuts - z[:, None], -500, 500))), np.zeros(len(y))]
+        here, over = above[each, grade], above[each, grade + 1]
+        p = np.maximum(here - over, 1e-9)
+        by_cut = np.zeros((len(y), grades + 2))
+        by_cut[each, grade] -= here * (1 - here) / p
+        by_cut[each, grade + 1] += over * (1 - over) / p
+        slope = np.r_[np.bincount(cols, (1 - here - over)[rows] * vals, len(names)) - ridge * w, by_cut[:, 1:-1].sum(0)]
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        theta = theta + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        theta[len(names) :] = np.maximum.accumulate(theta[len(names) :] + 1e-3 * np.arange(grades)) - 1e-3 * np.arange(grades)
+    return Model({f: float(x) for f, x in zip(names, theta, strict=False) if abs(x) > 1e-4}, tuple(map(float, theta[len(names) :])))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
