@@ -57,7 +57,10 @@ class Model(NamedTuple):
                     found[f] = found.get(f, 0) + n
             if found:
                 z[i] = sum(self.weights[f] * math.log2(1 + n) for f, n in found.items()) + self.weights.get(LENGTH, 0.0) * math.log2(1 + total)
-        return (1 / (1 + np.exp(np.clip(np.array(self.cuts) - z[:, None], -500, 500)))).tolist() if self.cuts else [[0.0] for _ in texts]
+        if not self.cuts:
+            return [[0.0] for _ in texts]
+        p = 1 / (1 + np.exp(np.clip(np.array(self.cuts) - z[:, None], -500, 500)))
+        return np.where(np.isneginf(z)[:, None], 0.0, p).tolist()
 
 
 class Sample:
