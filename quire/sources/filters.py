@@ -45,7 +45,7 @@ def ascii85(data: bytes) -> bytes:
     data = re.sub(rb"[\0\t\n\x0c\r ]", b"", data.removeprefix(b"<~").partition(b"~")[0])
     out, group = bytearray(), []
     for c in data:
-        if c in b"zZ" and not group:
+        if c == 122 and not group:
             out += bytes(4)
         elif 33 <= c <= 117:
             group.append(c - 33)

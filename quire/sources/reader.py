@@ -19,8 +19,8 @@ from ..operators.layout import Options, page_lines, page_paragraphs, prepared
 from .document import Document
 from .syntax import PdfError, show
 
-#: Documents of more pages than this are interpreted in ranges of so many pages.
-RANGE_PAGES = 64
+#: Documents of more pages than this are interpreted in ranges of so many pages. Files of fewer bytes are not looked at for that.
+RANGE_PAGES, LONG_BYTES = 64, 320_000
 DIAGNOSTICS = "doc_id string, page_no int, severity string, code string, message string"
 
 
@@ -124,7 +124,7 @@ class Corpus:
     def ranges(self) -> DataFrame:
         """doc_id, first and last page, content: whole documents where they lie, long ones in ranges that are dealt out. Whether a file can be long is told by its size first, so short ones aren't parsed twice."""
         files = self.files.select("doc_id", "length", "content")
-        may_be_long = F.col("length") > 40_000 * RANGE_PAGES // 8
+        may_be_long = F.col("length") > LONG_BYTES
         whole = files.where(~may_be_long | F.col("length").isNull()).select("doc_id", F.lit(1).alias("first"), F.lit(1 << 30).alias("last"), "content")
         password = self.password
 
