@@ -249,3 +249,19 @@ def pages_text(doc: Document) -> list[tuple[int, str, list[tuple[str, str]]]]:
 
 def document_text(doc: Document) -> str:
     return "".join(text for _, text, _ in pages_text(doc))
+
+
+def color_spaces(data: bytes) -> list[str]:
+    """Names of the colour spaces that a content stream sets, in order."""
+    device = {"rg": "DeviceRGB", "RG": "DeviceRGB", "g": "DeviceGray", "G": "DeviceGray", "k": "DeviceCMYK", "K": "DeviceCMYK"}
+    scanner, operands, out = Scanner(data, refs=False), [], []
+    while (value := scanner.next()) is not END:
+        if not isinstance(value, Word):
+            operands.append(value)
+            continue
+        if value in ("cs", "CS") and operands and isinstance(operands[-1], Name):
+            out.append(operands[-1][1:])
+        elif value in device:
+            out.append(device[value])
+        operands = []
+    return out
