@@ -195,22 +195,28 @@ def leading_breaks(t):
 
 @query()
 def leading_breaks_feedback(t):
-    """Gaps count only where no paragraph ended, so each decision needs those before it."""
-
-    def run(user: int, times: list) -> list[tuple]:
-        out, paragraph, gaps, least, last = [], 0, [], 0.0, None
-        for k, x in enumerate(times):
-            line = Line(-float(x["at"]), 0.0, 1.0, 3600.0, 0.0, 0, "x")
-            if last is None or paragraph_break(last, line, gaps, least):
-                paragraph += 1
-            else:
-                gaps.append(last.baseline - line.baseline)
-            last = line
-            out.append((user, x["event_id"], paragraph))
-        return out
-
-    events = t("events").select("user_id", F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id").alias("x"))
-    return map_rows(events.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("times")), run, "user_id bigint, event_id bigint, paragraph bigint")
+    """Gaps count only where no paragraph ended, so each decision needs those before it. Sorted rows stream through a state of one user; no user's events are gathered."""
+    events = t("events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    ordered = events.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+    return map_rows(ordered, Paragraphs(), "user_id bigint, event_id bigint, paragraph bigint")
+
+
+class Paragraphs:
+    """Numbers the paragraphs of one user's events after the other, with times as baselines."""
+
+    def __init__(self):
+        self.user = self.last = None
+
+    def __call__(self, user: int, at: int, event: int) -> list[tuple]:
+        line = Line(-float(at), 0.0, 1.0, 3600.0, 0.0, 0, "x")
+        if self.last is None or user != self.user:
+            self.user, self.number, self.gaps = user, 1, []
+        elif paragraph_break(self.last, line, self.gaps, 0.0):
+            self.number += 1
+        else:
+            self.gaps.append(self.last.baseline - line.baseline)
+        self.last = line
+        return [(user, event, self.number)]
 
 
 @query("select user_id, round(avg(case when value > 0 then 1.0 else 0.0 end), 6) as share, avg(case when value > 0 then 1.0 else 0.0 end) < 0.7 as falls_back from events group by user_id")
