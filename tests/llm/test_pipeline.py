@@ -16,8 +16,12 @@ def test_stages(spark):
     single = pipeline.written(pipeline.drop_copies(spark, kept, SF))
     components = {r.component_id for r in simhash.near_duplicates(kept).collect()}
     assert sorted(r.doc_id for r in single.collect()) == sorted(components)
+    planted = spark.createDataFrame([(10**6, "the password=xK9fQ2mN7p of", "en", "src0", 26)], single.schema)  # this table holds no secret
+    single = single.unionByName(planted)
+    components.add(10**6)
     masked = pipeline.written(pipeline.mask_secrets(spark, single, SF))
     assert masked.columns == docs.columns and sorted(r.doc_id for r in masked.collect()) == sorted(components)
+    assert masked.where("doc_id = 1000000").first().text == "the <SECRET> of"
     before = {r.doc_id: r.text for r in single.collect()}
     changed = [r for r in masked.collect() if r.text != before[r.doc_id]]
     assert changed and all("<SECRET>" in r.text or "<EXAMPLE>" in r.text for r in changed) and all(r.n_chars == len(r.text) for r in changed)
