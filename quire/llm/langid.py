@@ -1,6 +1,6 @@
 """Operator 7: language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of its labelled text. A text is parsed from left to right into the longest phrases that the automaton knows; a phrase ends where no known substring goes on. The language whose reference needs the fewest phrases for each symbol, normalised by the entropy of its reference's size, wins. The automata are dense transition tables, and all texts of a batch are walked in step in numpy, whole.
+For each language a suffix automaton is built over a bounded sample of its labelled text. A text is parsed from left to right into the longest phrases that the automaton knows; a phrase ends where no known substring goes on. The language whose reference needs the fewest phrases for each symbol, normalised by the entropy of its reference's size, wins. All letters of the references have a symbol of their own, over all code points. The automata are dense transition tables for the commonest letters and sorted transitions for the others, and all texts of a batch are walked in step in numpy, whole.
 
 Prediction reads the text alone. Learning reads the text and the label of the rows that the caller gives for it.
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow, uniform
 
-#: Learning: about so many documents of each language, so many characters of each of them and of their whole, and symbols of the alphabet.
+#: Learning: about so many documents of each language, so many characters of each of them and of their whole, and symbols of the dense tables.
 SAMPLE_DOCS, SAMPLE_CHARS, REFERENCE_CHARS, SYMBOLS = 64, 1000, 12_000, 48
 UNKNOWN = "und"
 
@@ -45,33 +45,38 @@ def fold(text: str) -> str:
 class Model:
     """Automata of all languages in one transition table.
 
-    `step[state * symbols + symbol]` holds twice the place of the next state, plus one where a phrase ends. States of language k lie after those of the languages before it.
+    `step[state * symbols + symbol]` holds twice the place of the next state, plus one where a phrase ends. States of language k lie after those of the languages before it. Letters that are not among the commonest have symbols from `width` on; their transitions are `next` at the place of `place * rare + symbol - width` in the sorted `keys`, and `first` where no known substring goes on.
     """
 
     def __init__(self, references: dict[str, str], symbols: int = SYMBOLS):
         self.langs = sorted(references)
         texts = [fold(references[k]) for k in self.langs]
         letters = Counter(c for t in texts for c in t if c.isalpha())
-        self.alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: symbols - 2]]
-        self.width = len(self.alphabet) + 2  # 0: not a letter, 1: any other letter
-        self.code = np.zeros(0x3000, np.uint8)
-        for c in range(len(self.code)):
-            self.code[c] = chr(c).isalpha()
+        self.alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
+        self.width = min(len(self.alphabet) + 2, symbols)  # 0: not a letter, 1: a letter of no reference
+        self.rare = len(self.alphabet) + 2 - self.width
+        self.code = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.int32, 0x110000)
         for k, c in enumerate(self.alphabet):
-            if ord(c) < len(self.code):
-                self.code[ord(c)] = k + 2
+            self.code[ord(c)] = k + 2
         self.starts, tables, base = [], [], 0
-        for t in texts:
-            table = self.table(automaton(self.symbols(t).tolist()), base)
+        others: list[tuple[int, int]] = []
+        self.first = np.zeros((self.rare, len(texts)), np.int64)
+        for k, t in enumerate(texts):
+            edges = automaton(self.symbols(t).tolist())
+            table = self.table(edges, base)
+            w = self.width
+            others += [((base + s * w) * self.rare + c - w, (base + t * w) * 2) for s, own in enumerate(edges) for c, t in own.items() if c >= w]
+            self.first[:, k] = [(base + edges[0].get(c + w, 0) * w) * 2 + 1 for c in range(self.rare)]
             self.starts.append(base)
             tables.append(table)
             base += len(table)
+        self.keys, self.next = np.array(sorted(others), np.int64).reshape(-1, 2).T.copy()
         self.step = np.concatenate(tables) if tables else np.zeros(0, np.int64)
         self.norm = np.array([np.log2(max(2, len(t))) for t in texts])
 
     def symbols(self, folded: str) -> np.ndarray:
         points = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return np.where(points < len(self.code), self.code[np.minimum(points, len(self.code) - 1)], 1)
+        return self.code[points]
 
     def table(self, edges: list[dict[int, int]], base: int) -> np.ndarray:
         w = self.width
@@ -79,9 +84,16 @@ class Model:
         out = np.tile((base + first * w) * 2 + 1, len(edges))
         for s, own in enumerate(edges):
             for c, t in own.items():
-                out[s * w + c] = (base + t * w) * 2
+                if c < w:
+                    out[s * w + c] = (base + t * w) * 2
         return out
 
+    def rare_step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What `step` holds for states of all languages, by symbols from `width` on."""
+        keys = state * self.rare + symbol[:, None] - self.width
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.next[at], self.first[symbol - self.width])
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text under each language."""
         coded = [self.symbols(t) for t in texts]
@@ -97,8 +109,13 @@ class Model:
                 part = coded[order[k]][a : a + 512]
                 block[: len(part), k] = part
             live = np.searchsorted(-lengths, -np.arange(a + 1, min(most, a + 512) + 1), side="right")
+            rare = block >= self.width
+            dense, some = np.where(rare, 1, block), rare.any(1)
             for j, n in enumerate(live.tolist()):
-                got = self.step.take(state[:n] + block[j, :n, None])
+                got = self.step.take(state[:n] + dense[j, :n, None])
+                if some[j]:
+                    own = np.flatnonzero(rare[j, :n])
+                    got[own] = self.rare_step(state[own], block[j, own])
                 count[:n] += got & 1
                 np.right_shift(got, 1, out=state[:n])
         out = np.empty_like(count)

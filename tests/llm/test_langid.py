@@ -49,3 +49,18 @@ def test_odd(odd, empty):
 def test_letters_of_no_known_alphabet():
     langs, scores = langid.Model({"en": "the of and", "de": "der die das"}).predict(["中文", "été", "123", None])
     assert langs[0] in ("en", "de") and langs[1] in ("en", "de") and langs[2:] == ["und", "und"]
+
+
+def test_languages_of_large_alphabets():
+    """Two languages of Han letters, one beyond the basic plane, and five scripts: phrases as by brute force, and each text in its own language."""
+    r = random.Random(2)
+    words = lambda first, n: ["".join(chr(first + r.randrange(n)) for _ in range(2)) for _ in range(150)]
+    own = {"zh": words(0x4E00, 600), "ja": words(0x4E00, 600), "ext": words(0x20000, 300), "el": words(0x3B1, 17), "ru": words(0x430, 32), "ar": words(0x628, 19), "ko": words(0xAC00, 400), "en": words(0x61, 26)}
+    text = lambda k, n: " ".join(r.choice(own[k]) for _ in range(n))
+    refs = {k: text(k, 400) for k in own}
+    m = langid.Model(refs)
+    texts = {k: text(k, 250) for k in own}
+    assert m.predict(list(texts.values()))[0] == list(texts)
+    mixed = [*texts.values(), "".join(map("".join, zip(texts["zh"], texts["ru"], texts["en"]))), "\u3042 zz \u4e00"]
+    cover = {k: "".join(c if c.isalpha() else " " for c in v) for k, v in refs.items()}
+    assert m.phrases(mixed).tolist() == [[brute_phrases(t, cover[k]) for k in m.langs] for t in mixed]
