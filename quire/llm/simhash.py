@@ -84,10 +84,12 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is linked within one posting list. A long list is split by each byte in which its members differ: linked ones share one of these or are found in another list."""
+    """Links that connect what is linked within one posting list. A long list is split by each byte in which its members differ: linked ones share one of these or are found in another list. If its members agree in a fifth byte, linked ones may share that one alone, and the list stays whole."""
     if len(fps) <= LIST:
         return forest(fps)
     out, octets = [], fps.view(np.uint8).reshape(-1, BYTES)
+    if (octets == octets[0]).all(0).sum() >= SHARED:
+        return forest(fps)
     for k in range(BYTES):
         order = np.argsort(octets[:, k], kind="stable")
         cuts = np.flatnonzero(np.diff(octets[order, k])) + 1

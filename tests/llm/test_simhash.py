@@ -94,3 +94,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
     star = [(0, k) for k in range(1, 300)]
     assert components.components(spark.createDataFrame(star, "u bigint, v bigint")).agg(F.max("root")).first()[0] == 0
+
+
+def test_long_list_that_agrees_in_five_bytes():
+    """The pair differs in one bit of each of the other three bytes, and nothing else is near."""
+    r = np.random.default_rng(8)
+    high = np.unique(r.integers(0, 1 << 24, 6000, dtype=np.uint64))
+    one = np.uint64(0x5A5A5A)
+    high = np.r_[high[np.bitwise_count(high ^ one) > 6], one, one ^ np.uint64(0x010101)]
+    fps = np.unique(high) << np.uint64(40) | np.uint64(0x1234567890)
+    assert len(fps) > simhash.LIST
+    pair = {int(x) << 40 | 0x1234567890 for x in (one, one ^ np.uint64(0x010101))}
+    assert any({int(a), int(b)} == pair for a, b in simhash.links(fps))
