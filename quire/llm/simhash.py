@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component one row of its smallest id. Rows without an id can't be told apart and all stay."""
-    kept = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """The rows of `docs` without near-duplicates: of each component one row, of its smallest id. Rows are told apart by id and text; a null id comes after all others."""
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.lit(SEED), F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    named = docs.withColumn("_id", row)
+    kept = near_duplicates(named.select("_id", text_col), "_id", text_col, shingle).where(F.col("_id") == F.col("component_id")).select("_id").distinct()
+    return named.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)

@@ -106,3 +106,10 @@ def test_long_list_that_agrees_in_five_bytes():
     assert len(fps) > simhash.LIST
     pair = {int(x) << 40 | 0x1234567890 for x in (one, one ^ np.uint64(0x010101))}
     assert any({int(a), int(b)} == pair for a, b in simhash.links(fps))
+
+
+def test_one_row_of_each_component(spark):
+    """Rows that share an id with another text, and rows without an id."""
+    x, y = "a b c d e f g", "p q r s t u v"
+    df = spark.createDataFrame([(3, x), (5, x), (5, y), (None, "only here"), (None, "only here"), (None, y)], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == [(3, x), (5, y), (None, "only here")]
