@@ -102,6 +102,27 @@ def aes_cbc(key: bytes, data: bytes) -> bytes:
     return bytes(out[:-n]) if 1 <= n <= 16 and out.endswith(bytes([n]) * n) else bytes(out)
 
 
+def _mix(a: int, b: int, c: int, d: int) -> tuple[int, int, int, int]:
+    double = lambda v: (v << 1 ^ (0x11B if v & 0x80 else 0)) & 255
+    return double(a ^ b) ^ b ^ c ^ d, double(b ^ c) ^ c ^ d ^ a, double(c ^ d) ^ d ^ a ^ b, double(d ^ a) ^ a ^ b ^ c
+
+
+def aes_seal(key: bytes, data: bytes, vector: bytes) -> bytes:
+    """What aes_cbc() opens: the initial vector, then the padded data."""
+    keys, out = round_keys(key), bytearray(vector)
+    n = 16 - len(data) % 16
+    data += bytes([n]) * n
+    for k in range(0, len(data), 16):
+        s = [a ^ b ^ c for a, b, c in zip(data[k : k + 16], out[-16:], keys[0], strict=True)]
+        for r in range(1, len(keys)):
+            s = [BOX[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
+            if r < len(keys) - 1:
+                s = [v for c in range(0, 16, 4) for v in _mix(*s[c : c + 4])]
+            s = [a ^ b for a, b in zip(s, keys[r], strict=True)]
+        out += bytes(s)
+    return bytes(out)
+
+
 class Security(NamedTuple):
     key: bytes
     aes: bool
@@ -113,6 +134,11 @@ class Security(NamedTuple):
     def decrypt(self, number: int, data: bytes) -> bytes:
         return (aes_cbc if self.aes else rc4)(self.object_key(number), data)
 
+    def encrypt(self, number: int, data: bytes) -> bytes:
+        """What decrypt() opens. The initial vector follows from the key, the object and the data, so files are made the same again."""
+        key = self.object_key(number)
+        return aes_seal(key, data, md5(key + data).digest()) if self.aes else rc4(key, data)
+
 
 def pad(password: bytes) -> bytes:
     return (password + PADDING)[:32]

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .books import book_pdf
 from .generate import text_pdf
 from .reader import map_rows
 
@@ -18,22 +19,39 @@ def with_pdf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_rows(docs.select(F.col(id_col), F.col(text_col).alias("_text")), lambda i, t: [(i, text_pdf(t or "", str(i)))], f"`{id_col}` {kind}, pdf binary")
 
 
-def write_files(df: DataFrame, folder: str, name_col: str, content_col: str) -> DataFrame:
-    """Writes each row's content to a file of its name in a folder that the workers share; path and length of what was written. A file is put in place only when it is whole, so a task that runs twice does no harm."""
+def with_book(docs: DataFrame, shape: str | Column = "plain", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The id and a book (see books) of each row, with its source in the header; `shape` is one for all or a column."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    shapes = F.lit(shape) if isinstance(shape, str) else shape
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.concat(F.lit("Volume of "), F.coalesce(F.col(source_col), F.lit("none"))).alias("_header"), shapes.alias("_shape"))
+    return map_rows(rows, lambda i, t, header, s: [(i, book_pdf(t, str(i), header, s))], f"`{id_col}` {kind}, pdf binary")
+
+
+def write_files(df: DataFrame, folder: str, name_col: str, content_col: str, id_col: str | None = None) -> DataFrame:
+    """Writes each row's content to a file of its name in a folder that the workers share (a mounted one); path and length of what was written. A file is put in place only when it is whole, so a task that runs twice does no harm.
+
+    Files of one document have one name each, but two documents have the same ones: with `id_col` each row's file lies in a folder that is named after its document's id, by the quoted id. Two rows with one path and other contents are an error (of which the first may have been written).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from os import getpid, replace
+        from urllib.parse import quote
 
         root = Path(folder)
         root.mkdir(parents=True, exist_ok=True)
         for batch in batches:
             rows = []
             for k in range(batch.num_rows):
-                name, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or b""
-                path, part = root / Path(name).name, root / f".{Path(name).name}.{getpid()}"
-                part.write_bytes(content.encode() if isinstance(content, str) else content)
+                name, content, owner = (c[k].as_py() for c in batch.columns)
+                content = content.encode() if isinstance(content, str) else content or b""
+                home = root / quote(str(owner), safe="") if id_col else root
+                home.mkdir(parents=True, exist_ok=True)
+                path, part = home / Path(name).name, home / f".{Path(name).name}.{getpid()}"
+                if path.exists() and path.read_bytes() != content:
+                    raise FileExistsError(f"{path} has another content")
+                part.write_bytes(content)
                 replace(part, path)
                 rows.append((str(path), len(content)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["path", "length"])
 
-    return df.select(name_col, content_col).mapInArrow(run, "path string, length bigint")
+    return df.select(F.col(name_col).alias("name"), F.col(content_col).alias("content"), (F.col(id_col) if id_col else F.lit("")).cast("string").alias("owner")).mapInArrow(run, "path string, length bigint")
