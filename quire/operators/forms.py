@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from typing import Any
 
 from ..sources.document import Document
@@ -38,8 +39,8 @@ def serialized(value: Any) -> bytes:
     raise PdfError("UNSUPPORTED_FEATURE", f"a {type(value).__name__} can't be written")
 
 
-def write_pdf(objects: dict[int, Any], trailer: dict) -> bytes:
-    """A file with one cross-reference table. Numbers without an object are free."""
+def write_pdf(objects: dict[int, Any], trailer: dict, sparse: bool = False) -> bytes:
+    """A file with one cross-reference table. Numbers without an object are free, or left out of the table if it is `sparse`."""
     parts, at, offsets = [b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"], 15, {}
     for n in sorted(objects):
         body = b"%d 0 obj\n%b\nendobj\n" % (n, serialized(objects[n]))
@@ -47,8 +48,13 @@ def write_pdf(objects: dict[int, Any], trailer: dict) -> bytes:
         at += len(body)
         parts.append(body)
     size = max(objects, default=0) + 1
-    parts.append(b"xref\n0 %d\n0000000000 65535 f \n" % size)
-    parts += [b"%010d 00000 n \n" % offsets[n] if n in offsets else b"0000000000 00001 f \n" for n in range(1, size)]
+    parts.append(b"xref\n0 %d\n0000000000 65535 f \n" % (1 if sparse else size))
+    if sparse:
+        for n in sorted(offsets):
+            run = next(k for k in count(n) if k not in offsets) - n if n - 1 not in offsets else 0
+            parts.append((b"%d %d\n" % (n, run) if run else b"") + b"%010d 00000 n \n" % offsets[n])
+    else:
+        parts += [b"%010d 00000 n \n" % offsets[n] if n in offsets else b"0000000000 00001 f \n" for n in range(1, size)]
     parts.append(b"trailer\n" + serialized({**trailer, "/Size": float(size)}) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
     return b"".join(parts)
 
@@ -79,6 +85,29 @@ def closure(doc: Document, start: int) -> list[int]:
     return out
 
 
+#: What belongs to pages, and what must not be followed from one to all others.
+INHERITED, UPWARDS = ("/Resources", "/MediaBox", "/CropBox", "/Rotate"), ("/Page", "/Pages", "/Catalog", "/StructTreeRoot", "/StructElem")
+
+
+def excerpt(doc: Document, refs: list[int]) -> bytes:
+    """A file of some pages, with what they need and under the numbers that they have."""
+    top = max(doc.xref, default=0) + 1
+    objects: dict[int, Any] = {top: {"/Type": Name("/Catalog"), "/Pages": Ref(top + 1)}, top + 1: {"/Type": Name("/Pages"), "/Kids": [Ref(r) for r in refs], "/Count": float(len(refs))}}
+    todo: list[int] = []
+    for r in refs:
+        own = {k: v for k in INHERITED if (v := doc.inherited(r, k)) is not None}
+        objects[r] = {k: v for k, v in doc.dict_of(Ref(r)).items() if k not in ("/Annots", "/B")} | own | {"/Parent": Ref(top + 1)}
+        todo += refs_in(objects[r])
+    while todo:
+        n = todo.pop()
+        value = doc.get(n) if n not in objects and n in doc.xref else None
+        if value is None or isinstance(value, dict) and value.get("/Type") in UPWARDS:
+            continue
+        objects[n] = Stream({k: v for k, v in value.info.items() if k != "/Length"}, doc.security.decrypt(n, value.data) if doc.security else value.data) if isinstance(value, Stream) else value
+        todo += refs_in(value)
+    return write_pdf(objects, {"/Root": Ref(top)}, sparse=True)
+
+
 def renumbered(value: Any, numbers: dict[int, int]) -> Any:
     if isinstance(value, Ref):
         return Ref(numbers.get(value.number, value.number))

@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from functools import lru_cache
 from typing import Any, NamedTuple
 
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..operators import extract, forms, images, legacy, outline, structure
 from ..operators.diff import Change, document_changes
 from ..operators.interpret import Glyph, Graphic, Interpreter, page_items
-from ..operators.layout import Options, page_lines, page_paragraphs, prepared
+from ..operators.layout import Options, document_paragraphs, formatted, page_lines, page_paragraphs, prepared
 from .document import Document
 from .syntax import PdfError, show
 
@@ -65,29 +67,29 @@ def opened(content: bytes, password: str | None) -> Document:
 def read_pdf(spark: SparkSession, path: str | list[str], password: str | None = None, mode: str = "permissive", glob: str = "*.pdf") -> Corpus:
     """The files under `path`. mode `permissive` leaves out what can't be read and lists it in diagnostics(); `failfast` raises."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return Corpus(files.select(F.col("path").alias("doc_id"), "path", "length", "content"), password, mode)
+    return Corpus(files.select(F.col("path").alias("doc_id"), "path", "length", "content"), password, mode, dealt=True)
 
 
-def from_table(df: DataFrame, id_col: str, content_col: str, password: str | None = None, mode: str = "permissive") -> Corpus:
-    """A column of PDF files."""
+def from_table(df: DataFrame, id_col: str, content_col: str, password: str | None = None, mode: str = "permissive", dealt: bool = False) -> Corpus:
+    """A column of PDF files. Each is read where its row lies, in one pass over `df`; with `dealt`, long ones are dealt out by pages, for which `df` is computed twice."""
     content = F.col(content_col)
-    return Corpus(df.select(F.col(id_col).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content")), password, mode)
+    return Corpus(df.select(F.col(id_col).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content")), password, mode, dealt)
 
 
 class Corpus:
     """Documents and what can be read from them. Each method is a DataFrame; nothing runs until it is used."""
 
-    def __init__(self, files: DataFrame, password: str | None = None, mode: str = "permissive"):
+    def __init__(self, files: DataFrame, password: str | None = None, mode: str = "permissive", dealt: bool = False):
         if mode not in ("permissive", "failfast"):
             raise ValueError(f"mode {mode}")
-        self.files, self.password, self.mode = files, password, mode
+        self.files, self.password, self.mode, self.dealt = files, password, mode, dealt
 
     def where(self, condition: Column | str) -> Corpus:
         """Documents that fulfil a condition on doc_id, path or length; it reaches the file listing."""
-        return Corpus(self.files.where(condition), self.password, self.mode)
+        return Corpus(self.files.where(condition), self.password, self.mode, self.dealt)
 
-    def each(self, work: Callable[[str, Document], Iterable[tuple]], schema: str) -> DataFrame:
-        """Rows that `work` makes of each document."""
+    def each(self, work: Callable[[str, Document], Iterable[tuple]], schema: str, files: DataFrame | None = None) -> DataFrame:
+        """Rows that `work` makes of each document, or of those of `files`."""
         password, strict = self.password, self.mode == "failfast"
 
         def run(doc_id: str, content: bytes | None) -> Iterator[tuple]:
@@ -97,13 +99,13 @@ class Corpus:
                 if strict:
                     raise
 
-        return map_rows(self.files.select("doc_id", "content"), run, schema)
+        return map_rows((self.files if files is None else files).select("doc_id", "content"), run, schema)
 
     def pages_each(self, work: Callable[[str, int, int, list], Iterable[tuple]], schema: str, pages: list[int] | None = None) -> DataFrame:
         """Rows that `work` makes of the items of each page. Only the pages asked for are interpreted."""
         password, strict, wanted = self.password, self.mode == "failfast", frozenset(pages) if pages is not None else None
 
-        def run(doc_id: str, first: int, last: int, content: bytes | None) -> Iterator[tuple]:
+        def run(doc_id: str, first: int, last: int, base: int, content: bytes | None, _: bool) -> Iterator[tuple]:
             try:
                 doc = opened(content or b"", password)
                 refs, interpreter = doc.pages(), Interpreter(doc)
@@ -111,33 +113,47 @@ class Corpus:
                 if strict:
                     raise
                 return
-            for k in range(first, min(last, len(refs)) + 1):
+            for k in range(first, min(last, base + len(refs) - 1) + 1):
                 if wanted is None or k in wanted:
                     try:
-                        yield from list(work(doc_id, k, refs[k - 1], page_items(doc, refs[k - 1], interpreter)))
+                        yield from list(work(doc_id, k, refs[k - base], page_items(doc, refs[k - base], interpreter)))
                     except PdfError:
                         if strict:
                             raise
 
         return map_rows(self.ranges(), run, schema)
 
+    def short(self) -> DataFrame:
+        """The files that are read where they lie."""
+        return self.files.where((F.col("length") <= LONG_BYTES) | F.col("length").isNull()) if self.dealt else self.files
+
     def ranges(self) -> DataFrame:
-        """doc_id, first and last page, content: whole documents where they lie, long ones in ranges that are dealt out. Whether a file can be long is told by its size first, so short ones aren't parsed twice."""
-        files = self.files.select("doc_id", "length", "content")
-        may_be_long = F.col("length") > LONG_BYTES
-        whole = files.where(~may_be_long | F.col("length").isNull()).select("doc_id", F.lit(1).alias("first"), F.lit(1 << 30).alias("last"), "content")
+        """doc_id, first and last page, the number of the content's first page, content, and whether it is the whole document: short files as they lie, long ones in ranges of pages that are dealt out. A range has its pages and what they need, not the whole file. Whether a file can be long is told by its size, by which the files of either kind are listed; none is read twice."""
+        whole = self.short().select("doc_id", F.lit(1).alias("first"), F.lit(1 << 30).alias("last"), F.lit(1).alias("base"), "content", F.lit(True).alias("whole"))
+        return whole.unionByName(self.long_ranges()) if self.dealt else whole
+
+    def long_ranges(self, by_tree: bool = False) -> DataFrame:
+        """ranges() of long files; with `by_tree`, those that have a structure tree stay whole."""
         password = self.password
 
         def cut(doc_id: str, content: bytes | None) -> Iterator[tuple]:
             try:
-                n = len(opened(content or b"", password).pages())
+                doc = opened(content or b"", password)
+                refs = doc.pages()
+                if len(refs) > RANGE_PAGES and not (by_tree and structure.tree(doc) is not None):
+                    for k in range(0, len(refs), RANGE_PAGES):
+                        part = refs[k : k + RANGE_PAGES]
+                        try:
+                            yield doc_id, k + 1, k + len(part), k + 1, forms.excerpt(doc, part), False
+                        except PdfError:  # what is broken has to show where it is used
+                            yield doc_id, k + 1, k + len(part), 1, content, False
+                    return
             except PdfError:
-                n = 1
-            for k in range(1, max(n, 1) + 1, RANGE_PAGES):
-                yield doc_id, k, min(k + RANGE_PAGES - 1, max(n, 1)), content
+                pass
+            yield doc_id, 1, 1 << 30, 1, content, True
 
-        long = map_rows(files.where(may_be_long).select("doc_id", "content"), cut, "doc_id string, first int, last int, content binary")
-        return whole.unionByName(long.repartition("doc_id", "first"))
+        files = self.files.where(F.col("length") > LONG_BYTES).select("doc_id", "content")
+        return map_rows(files, cut, "doc_id string, first int, last int, base int, content binary, whole boolean").repartition("doc_id", "first")
 
     # Files and objects
 
@@ -224,8 +240,36 @@ class Corpus:
         return self.each(rows, "doc_id string, page_no int, text string, warnings array<struct<code:string,message:string>>")
 
     def text(self, mode: str = "tagged", options: Options = Options()) -> DataFrame:
-        """Whole-document text. A page that can't be read fails its document."""
-        return self.each(lambda i, d: [(i, mode, extract.text(d, mode, options))], "doc_id string, mode string, text string")
+        """Whole-document text. A page that can't be read fails its document. Of long files the pages are interpreted in ranges, and their lines are put together for each document."""
+        schema = "doc_id string, mode string, text string"
+        own = self.each(lambda i, d: [(i, mode, extract.text(d, mode, options))], schema, self.short() if mode != "legacy" else None)
+        if not self.dealt or mode == "legacy":
+            return own
+        password, strict = self.password, self.mode == "failfast"
+
+        def lines(doc_id: str, first: int, last: int, base: int, content: bytes | None, whole: bool) -> Iterator[tuple]:
+            try:
+                doc = opened(content or b"", password)
+                if whole:
+                    yield doc_id, 0, extract.text(doc, mode, options).encode("utf-8", "surrogatepass")
+                    return
+                interpreter, refs = Interpreter(doc), doc.pages()
+                for k in range(first, last + 1):
+                    yield doc_id, k, pickle.dumps(replace(page_lines(page_items(doc, refs[k - base], interpreter)), graphics=[]))
+            except PdfError:
+                if strict:
+                    raise
+                yield doc_id, -1, None
+
+        def joined(doc_id: str, pages: list[dict]) -> Iterator[tuple]:
+            if pages[0]["k"] == 0:
+                yield doc_id, mode, pages[0]["blob"].decode("utf-8", "surrogatepass")
+            elif pages[0]["k"] > 0:
+                yield doc_id, mode, formatted(document_paragraphs([pickle.loads(p["blob"]) for p in pages], options))
+
+        parts = map_rows(self.long_ranges(mode == "tagged"), lines, "doc_id string, k int, blob binary")
+        grouped = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "blob"))).alias("pages"))
+        return own.unionByName(map_rows(grouped, joined, schema))
 
     # Search, images, forms
 
@@ -289,15 +333,15 @@ def grep_lines(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.where(F.col("line").rlike(pattern)).withColumn("marked", F.concat(first, F.lit("\x1b[31m"), hit, F.lit("\x1b[0m"), rest))
 
 
-def diff(a: Corpus, b: Corpus, pairs: DataFrame, options: Options = Options()) -> DataFrame:
-    """Changes between documents, for the rows (doc_a, doc_b) of `pairs`: the columns of Change, with `ord` in the order that a reader of the two files sees. Paragraphs of a pair meet in one task; pairs are dealt out."""
+def diff(a: Corpus, b: Corpus, pairs: DataFrame, options: Options = Options(), ascending: bool = False) -> DataFrame:
+    """Changes between documents, for the rows (doc_a, doc_b) of `pairs`: the columns of Change, with `ord` in their order: pages ascending, and the changes of a page from its end, or from its beginning if `ascending`. Paragraphs of a pair meet in one task; pairs are dealt out."""
     left = a.paragraphs(options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "paragraphs"))).alias("a")).withColumnRenamed("doc_id", "doc_a")
     right = b.paragraphs(options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "paragraphs"))).alias("b")).withColumnRenamed("doc_id", "doc_b")
     both = pairs.select("doc_a", "doc_b").join(left, "doc_a", "left").join(right, "doc_b", "left").select("doc_a", "doc_b", "a", "b")
 
     def run(doc_a: str, doc_b: str, pages_a: list | None, pages_b: list | None) -> Iterator[tuple]:
         texts = [[p["paragraphs"] for p in x or []] for x in (pages_a, pages_b)]
-        for k, c in enumerate(document_changes(*texts)):
+        for k, c in enumerate(document_changes(*texts, ascending)):
             yield doc_a, doc_b, k, *c
 
     kinds = ["string", *["int"] * 4, *["string"] * 2, *["int"] * 2]
