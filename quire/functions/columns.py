@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql.window import WindowSpec
 
-from .text import CLOSING, LIST_MARKER, NUMBERED_CODE, PAGE_NUMBER, ROMAN, TERMINAL
+from .text import CLOSING, LIST_MARKER, NUMBERED_CODE, PAGE_NUMBER, ROMAN, TERMINAL, WIDE
 
+#: Inside of a class: white space as the scalar functions have it, that of Unicode included, which `\s` of the pattern language lacks.
+BLANKS = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+BLANK = f"[{BLANKS}]"
 CJK_CLASS = "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}]"
 
 
@@ -30,12 +33,12 @@ def utf16_text(data: Column) -> Column:
 
 def normal_paragraph(text: Column) -> Column:
     """K9: white space squeezed and stripped."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
 
 
 def normal_header(text: Column) -> Column:
     """H12 to H14."""
-    digits = F.regexp_replace(F.regexp_replace(text, r"\s", ""), "[0-9]+", "#")
+    digits = F.regexp_replace(F.regexp_replace(text, BLANK, ""), "[0-9]+", "#")
     return F.regexp_replace(digits, f"([{ROMAN}]{{1,7}})([^{ROMAN}]|$)", "#$2")
 
 
@@ -51,18 +54,18 @@ def page_number_only(normal: Column) -> Column:
 
 def list_marker(text: Column) -> Column:
     """G21."""
-    return text.rlike(LIST_MARKER)
+    return text.rlike(LIST_MARKER.replace(r"\s", BLANK))
 
 
 def numbered_code(text: Column) -> Column:
     """G28."""
-    return text.rlike(NUMBERED_CODE)
+    return text.rlike(NUMBERED_CODE.replace(r"\s", BLANK))
 
 
 def ends_sentence(text: Column) -> Column:
     """G34."""
     closing = "".join("\\" + c for c in CLOSING)
-    return text.rlike(f"[{TERMINAL}][{closing}]*\\s*$")
+    return text.rlike(f"[{TERMINAL}][{closing}]*{BLANK}*$")
 
 
 def has_cjk(text: Column) -> Column:
@@ -72,7 +75,7 @@ def has_cjk(text: Column) -> Column:
 
 def latin_share(text: Column) -> Column:
     """Share of ASCII letters among what isn't white space; 0 for blank text."""
-    shown = F.length(F.regexp_replace(text, r"\s", ""))
+    shown = F.length(F.regexp_replace(text, BLANK, ""))
     letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
     return F.when(shown > 0, letters / shown).otherwise(F.lit(0.0))
 
@@ -94,14 +97,14 @@ def segment_space(gap: Column, size: Column, before: Column, after: Column) -> C
 
 def display_width(text: Column) -> Column:
     """Columns on a terminal."""
-    wide = F.length(F.regexp_replace(text, f"{CJK_CLASS}|[\\x{{AC00}}-\\x{{D7A3}}]", ""))
-    return 2 * F.length(text) - wide
+    narrow = F.regexp_replace(text, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WIDE) + "]", "")
+    return 2 * F.length(text) - F.length(narrow)
 
 
 def script_kinds(text: Column) -> Column:
     """How many kinds of script a text has."""
     kinds = ["[\\x{3041}-\\x{309F}]", "[\\x{30A1}-\\x{30FF}]", "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]", "[A-Za-z]"]
-    other = "[^\\s" + "".join(k[1:-1] for k in kinds) + "]"
+    other = f"[^{BLANKS}" + "".join(k[1:-1] for k in kinds) + "]"
     return reduce(Column.__add__, [text.rlike(k).cast("int") for k in [*kinds, other]])
 
 
@@ -147,9 +150,3 @@ def line_band(baseline: Column, page: WindowSpec, share: float = 0.15) -> Column
     low, high = F.min(baseline).over(page), F.max(baseline).over(page)
     return F.when(high <= low, "middle").when(baseline >= high - share * (high - low), "top").when(baseline <= low + share * (high - low), "bottom").otherwise("middle")
 
-
-def typical_leading(gap: Column, group: WindowSpec, size: Column) -> Column:
-    """Median of the positive gaps before this row, or 1.2 sizes if there are fewer than two."""
-    before = group.rowsBetween(Window.unboundedPreceding, -1)
-    positive = F.when(gap > 0, gap)
-    return F.when(F.count(positive).over(before) >= 2, F.percentile(positive, F.lit(0.5)).over(before)).otherwise(1.2 * size)

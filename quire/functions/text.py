@@ -88,10 +88,13 @@ def page_number_only(normal: str) -> bool:
     return bool(re.match(PAGE_NUMBER, normal))
 
 
+#: Ranges of characters that take two columns on a terminal.
+WIDE = ((0x1100, 0x115F), (0x2E80, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x20000, 0x3FFFD))
+
+
 def display_width(text: str) -> int:
     """Columns on a terminal: two for wide characters."""
-    wide = ((0x1100, 0x115F), (0x2E80, 0x303E), (0x3041, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x20000, 0x3FFFD))
-    return sum(2 if any(a <= ord(c) <= b for a, b in wide) else 1 for c in text)
+    return sum(2 if any(a <= ord(c) <= b for a, b in WIDE) else 1 for c in text)
 
 
 def clip(text: str, width: int) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,27 +27,40 @@ def normal(text: str) -> str:
     return " ".join(text.split())
 
 
-def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """Length of the longest common subsequence of every pair of prefixes. Rows are running maxima, so each is a few numpy steps."""
+def length_rows(a: list[str], b: list[str]) -> Iterator[np.ndarray]:
+    """Lengths of the longest common subsequences of each prefix of `a`, the empty one first, with every prefix of `b`. Rows are running maxima, so each is a few numpy steps."""
     codes = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
     right = np.array([codes[t] for t in b], np.int64)
-    out = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, t in enumerate(a, 1):
-        grown = np.where(right == codes[t], out[i - 1, :-1] + 1, out[i - 1, 1:])
-        out[i, 1:] = np.maximum.accumulate(grown) if len(b) else grown
+    row = np.zeros(len(b) + 1, np.int32)
+    yield row
+    for t in a:
+        grown = np.where(right == codes[t], row[:-1] + 1, row[1:])
+        row = np.r_[np.int32(0), np.maximum.accumulate(grown) if len(b) else grown]
+        yield row
+
+
+def insertions(a: list[str], b: list[str]) -> list[np.ndarray]:
+    """A bit for each pair of prefixes (i and j over 0) whose last elements differ: whether the walk back takes b's last one for an insertion. Eight pairs take a byte."""
+    out, before = [], None
+    for row in length_rows(a, b):
+        if before is not None:
+            out.append(np.packbits(before[1:] <= row[:-1]))
+        before = row
     return out
 
 
 def paragraph_changes(a: list[str], b: list[str]) -> list[Change]:
     """Changes from the last paragraph to the first; neighbours of an insertion and a removal are one replacement."""
     left, right = list(map(normal, a)), list(map(normal, b))
-    lengths = common_lengths(left, right)
-    steps: list[Change] = []
     i, j = len(a), len(b)
+    while i and j and left[i - 1] == right[j - 1]:  # a common end needs no table
+        i, j = i - 1, j - 1
+    inserted = insertions(left[:i], right[:j])
+    steps: list[Change] = []
     while i or j:
         if i and j and left[i - 1] == right[j - 1]:
             i, j = i - 1, j - 1
-        elif j and (not i or lengths[i - 1, j] <= lengths[i, j - 1]):
+        elif j and (not i or inserted[i - 1][(j - 1) >> 3] >> (7 - (j - 1) % 8) & 1):
             j -= 1
             steps.append(Change("text", para_b=j, new=b[j]))
         else:
@@ -70,11 +84,11 @@ def page_changes(page: int, a: list[str], b: list[str]) -> list[Change]:
     return [c._replace(page_a=page, page_b=page) for c in paragraph_changes(a, b)]
 
 
-def document_changes(a: list[list[str]], b: list[list[str]]) -> list[Change]:
-    """Changes of two documents given as paragraphs of pages: the page counts, common pages, then pages of one only."""
+def document_changes(a: list[list[str]], b: list[list[str]], ascending: bool = False) -> list[Change]:
+    """Changes of two documents given as paragraphs of pages: the page counts, common pages, then pages of one only. Within a page they run from the last paragraph to the first, or the other way if `ascending`."""
     both = min(len(a), len(b))
     out = [Change("page_count", pages_a=len(a), pages_b=len(b))] if len(a) != len(b) else []
-    out += [c for k in range(both) for c in page_changes(k + 1, a[k], b[k])]
+    out += [c for k in range(both) for c in page_changes(k + 1, a[k], b[k])[:: -1 if ascending else 1]]
     out += [Change("text", page_a=k + 1, para_a=n, old=t) for k in range(both, len(a)) for n, t in enumerate(a[k])]
     return out + [Change("text", page_b=k + 1, para_b=n, new=t) for k in range(both, len(b)) for n, t in enumerate(b[k])]
 
