@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from quire.plans import catalogue
 
-HEADLINE = ("grep_lines", "header_footer_cores", "strip_headers_anti_join", "line_bands", "iqr_outliers", "leading_breaks", "reading_order", "xref_latest_wins", "page_tree_recursive", "ref_closure", "diff_pages", "pdf_roundtrip_words", "pdf_text", "pdf_items", "pdf_regions")
+HEADLINE = ("grep_lines", "header_footer_cores", "strip_headers_anti_join", "line_bands", "iqr_outliers", "leading_breaks", "reading_order", "xref_latest_wins", "page_tree_recursive", "diff_pages", "pdf_roundtrip_words", "pdf_text", "pdf_items", "pdf_regions")
 
 
 def main() -> None:

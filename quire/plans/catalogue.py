@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import columns as C
 from ..operators.diff import paragraph_changes
 from ..operators.layout import Line, paragraph_break
-from ..sources.reader import from_table, grep_lines as grep, map_rows
-from ..sources.sinks import with_pdf
+from ..sources.reader import diff, from_table, grep_lines as grep, map_rows
+from ..sources.sinks import with_book, with_pdf
+from ..streaming.pages import pages_of_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,12 +63,6 @@ def grep_pages_summary(t):
     return hits.groupBy("doc_id").agg(F.count("*").alias("matched_lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
-@query("select doc_id, text, n_chars from documents where doc_id = 7")
-def page_select(t):
-    """the filter reaches the scan."""
-    return t("documents").where("doc_id = 7").select("doc_id", "text", "n_chars")
-
-
 @query("select conv_id, count(*) as pages from conversations group by conv_id")
 def page_count(t):
     """F3."""
@@ -76,12 +72,6 @@ def page_count(t):
 # Text
 
 
-@query(f"select doc_id, line_no, trim(line) as paragraph from {LINES} where trim(line) <> ''")
-def paragraph_split(t):
-    """Blank lines are no paragraphs."""
-    return document_lines(t("documents")).select("doc_id", "line_no", F.trim("line").alias("paragraph")).where("paragraph <> ''")
-
-
 @query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as normal from documents")
 def para_normalize(t):
     """K9."""
@@ -116,9 +106,11 @@ def header_footer_cores(t):
 )
 def strip_headers_anti_join(t):
     """H5, H9, H15."""
-    lines = banded_lines(t("documents")).withColumn("normal", C.normal_header(F.col("line"))).withColumn("core", F.translate("normal", "#", ""))
-    kept = lines.where((F.col("band") == "middle") | ~C.page_number_only(F.col("normal")))
-    return kept.join(repeated_cores(banded_lines(t("documents"))), ["source", "band", "core"], "left_anti").select("doc_id", "line_no", "line")
+    lines = banded_lines(t("documents"))
+    middle = lines.where("band = 'middle'").select("doc_id", "line_no", "line")
+    edges = lines.where("band <> 'middle'").withColumn("normal", C.normal_header(F.col("line"))).withColumn("core", F.translate("normal", "#", ""))
+    kept = edges.where(~C.page_number_only(F.col("normal"))).join(repeated_cores(lines), ["source", "band", "core"], "left_anti")
+    return middle.unionByName(kept.select("doc_id", "line_no", "line"))
 
 
 @query(
@@ -179,18 +171,36 @@ def reading_order(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", long(F.row_number().over(order), "place"))
 
 
+class Gaps:
+    """Whether a gap of one user's events breaks, with the median of the positive gaps before it held in two heaps."""
+
+    def __init__(self):
+        self.user = None
+
+    def __call__(self, user: int, at: int, event: int, value: float) -> list[tuple]:
+        if self.user is None or user != self.user:
+            self.user, self.last, self.low, self.high = user, at, [], []
+            return [(user, event, None, False)]
+        gap, low, high = at - self.last, self.low, self.high
+        usual = 1.2 * value if len(low) + len(high) < 2 else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
+        self.last = at
+        if gap > 0:
+            heapq.heappush(high, -heapq.heappushpop(low, -gap))
+            if len(high) > len(low):
+                heapq.heappush(low, -heapq.heappop(high))
+        return [(user, event, gap, gap < 0 or gap > 1.6 * usual)]
+
+
 @query(
     "with g as (select user_id, event_id, ts, value, epoch_us(ts) - epoch_us(lag(ts) over w) as gap from events window w as (partition by user_id order by ts, event_id)), "
     "m as (select *, count(case when gap > 0 then 1 end) over p as n, median(case when gap > 0 then gap end) over p as med from g window p as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)) "
     "select user_id, event_id, gap, case when gap is null then false else gap < 0 or gap > 1.6 * (case when n >= 2 then med else 1.2 * value end) end as breaks from m"
 )
 def leading_breaks(t):
-    """Users as pages, times as baselines; all gaps before count."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = t("events").select("user_id", "event_id", "ts", "value", (micros - F.lag(micros).over(order)).alias("gap"))
-    usual = C.typical_leading(F.col("gap"), order, F.col("value"))
-    return gaps.select("user_id", "event_id", "gap", F.when(F.col("gap").isNull(), False).otherwise((F.col("gap") < 0) | (F.col("gap") > 1.6 * usual)).alias("breaks"))
+    """Users as pages, times as baselines; all gaps before count. Sorted rows stream through a running median, which needs the logarithm of their number for each."""
+    events = t("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "value")
+    ordered = events.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+    return map_rows(ordered, Gaps(), "user_id bigint, event_id bigint, gap bigint, breaks boolean")
 
 
 @query()
@@ -356,22 +366,28 @@ def outline_walk(t):
     return chain.select("conv_id", "turn", "depth", F.concat(F.repeat(F.lit(" "), F.col("depth")), "role").alias("title"))
 
 
-@query("select o_orderkey, count(distinct l_partkey) + count(distinct l_suppkey) + 1 as objects from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey")
-def ref_closure(t):
-    """An order, and the parts and suppliers that it refers to."""
-    edges = t("lineitem").select("l_orderkey", F.explode(F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))).alias("ref"))
-    reached = t("orders").select("o_orderkey").join(edges, F.col("o_orderkey") == F.col("l_orderkey"))
-    return reached.groupBy("o_orderkey", "ref").agg(F.lit(1).alias("one")).groupBy("o_orderkey").agg((F.count("*") + 1).alias("objects"))
+#: Keys of a range that numbers and offsets are counted in.
+RANGE_KEYS = 1 << 16
 
 
 def running_offsets(df: DataFrame, key: str, size: str) -> DataFrame:
-    """Start of each row if rows lie one after the other in key order. Ranges of keys are summed on their own and shifted by what lies before them, so no task sees all rows."""
-    ranged = df.select(key, size).repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    order = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    """Start of each row if rows lie one after the other in the order of an integer key. Ranges of RANGE_KEYS keys are summed on their own and shifted by what lies before them; which range a row is in follows from its key."""
+    ranged = df.select(key, size).withColumn("_range", F.floor(F.col(key) / RANGE_KEYS))
+    order = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("_in", F.coalesce(F.sum(size).over(order), F.lit(0)))
-    totals = ranged.groupBy("_part").agg(F.sum(size).alias("_sum"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    return inside.join(before, "_part").select(key, (F.col("_before") + F.col("_in")).cast("long").alias("offset"))
+    totals = ranged.groupBy("_range").agg(F.sum(size).alias("_sum"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    return inside.join(before, "_range").select(key, (F.col("_before") + F.col("_in")).cast("long").alias("offset"))
+
+
+def numbered(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """`df` with the number, from 1, of each row in its group, in the order of an integer key; ranges of keys are numbered on their own, so a large group is many tasks."""
+    ranged = df.withColumn("_range", F.floor(F.col(key) / RANGE_KEYS))
+    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_range").orderBy(key)))
+    totals = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col(group).alias("_group"), F.col("_range").alias("_at"), "_before")
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_range").eqNullSafe(F.col("_at"))
+    return inside.join(before, same).withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before", "_range", "_group", "_at")
 
 
 @query("select doc_id, cast(coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\" from documents")
@@ -380,37 +396,36 @@ def offsets_running_sum(t):
     return running_offsets(t("documents"), "doc_id", "n_chars")
 
 
-@query("select source, toxic, string_agg(cast(doc_id as varchar), ',' order by doc_id) as run from documents join labels using (doc_id) group by source, toxic")
-def tagged_join(t):
-    """Segments of a mark, put together in order."""
-    joined = t("documents").select("doc_id", "source").join(t("labels").select("doc_id", "toxic"), "doc_id")
-    ids = F.array_sort(F.collect_list("doc_id"))
-    return joined.groupBy("source", "toxic").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("run"))
-
-
-PAIRED = "(select source, text, row_number() over (partition by source order by doc_id) as page from documents where source in ('src0', 'src1'))"
-
-
-@query(f"select coalesce(a.page, b.page) as page, case when b.page is null then 'only_a' when a.page is null then 'only_b' when a.text = b.text then 'same' else 'changed' end as status from (select * from {PAIRED} where source = 'src0') a full join (select * from {PAIRED} where source = 'src1') b on a.page = b.page")
+@query(
+    "with s as (select source, row_number() over (order by source) as r from (select distinct source from documents where source is not null)), p as (select r, text, row_number() over (partition by d.source order by doc_id) as page from documents d join s on d.source = s.source), "
+    "e as (select r as pair, page, text as a, null as b, 1 as in_a, 0 as in_b from p where r < (select max(r) from s) union all select r - 1, page, null, text, 0, 1 from p where r > 1) "
+    "select pair, page, case when max(in_b) = 0 then 'only_a' when max(in_a) = 0 then 'only_b' when max(a) is not distinct from max(b) then 'same' else 'changed' end as status from e group by pair, page"
+)
 def diff_pages(t):
-    """Two sources as files, their rows as pages."""
-    ranked = t("documents").where(F.col("source").isin("src0", "src1")).select("source", "text", long(F.row_number().over(Window.partitionBy("source").orderBy("doc_id")), "page"))
-    a = ranked.where("source = 'src0'").select("page", F.sha2("text", 256).alias("a"))
-    b = ranked.where("source = 'src1'").select("page", F.sha2("text", 256).alias("b"))
-    status = F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").when(F.col("a") == F.col("b"), "same").otherwise("changed")
-    return a.join(b, "page", "full").select("page", status.alias("status"))
+    """Each source against the next one in code-point order, sources as files, their rows as pages. Texts are hashed before anything is shuffled."""
+    docs = t("documents").where("source is not null").select("source", "doc_id", F.sha2("text", 256).alias("hash"))
+    ranks = docs.select("source").distinct().withColumn("r", F.row_number().over(Window.orderBy("source")))  # a row for each source
+    pages = numbered(docs, "source", "doc_id", "page").join(ranks, "source").crossJoin(F.broadcast(ranks.agg(F.max("r").alias("last"))))  # one row
+    sides = F.array(F.struct(F.when(F.col("r") < F.col("last"), F.col("r")).cast("long").alias("pair"), F.lit("a").alias("side")), F.struct(F.when(F.col("r") > 1, F.col("r") - 1).cast("long").alias("pair"), F.lit("b").alias("side")))
+    each = pages.select("page", "hash", F.explode(sides).alias("s")).select("s.pair", "page", "s.side", "hash").where("pair is not null")
+    has = lambda k: F.max(F.col("side") == k)
+    own = lambda k: F.max(F.when(F.col("side") == k, F.col("hash")))
+    status = F.when(~has("b"), "only_a").when(~has("a"), "only_b").when(own("a").eqNullSafe(own("b")), "same").otherwise("changed")
+    return each.groupBy("pair", "page").agg(status.alias("status"))
 
 
 @query()
 def diff_lcs(t):
-    """K6, K8: each document against the one before it in its source."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    pairs = t("documents").select("doc_id", "text", F.lag("text").over(order).alias("before")).where("before is not null")
+    """K6, K8: each document against the one before it in its source. Pairs are found by their numbers; texts join them last."""
+    ids = numbered(t("documents").where("source is not null").select("source", "doc_id"), "source", "doc_id", "page")
+    pairs = ids.join(ids.select("source", (F.col("page") + 1).alias("page"), F.col("doc_id").alias("other")), ["source", "page"])
+    texts = t("documents").select(F.col("doc_id").alias("other"), F.col("text").alias("before"))
+    both = pairs.join(t("documents").select("doc_id", "text"), "doc_id").join(texts, "other").where("text is not null and before is not null").select("doc_id", "text", "before")
 
     def run(doc: int, text: str, before: str) -> list[tuple]:
         return [(doc, k, c.para_a, c.para_b, c.old, c.new) for k, c in enumerate(paragraph_changes(before.split("\n"), text.split("\n")))]
 
-    return map_rows(pairs, run, "doc_id bigint, ord bigint, para_a int, para_b int, old string, new string")
+    return map_rows(both, run, "doc_id bigint, ord bigint, para_a int, para_b int, old string, new string")
 
 
 @query("select doc_id, to_json({doc_id: doc_id, lang: lang, source: source, n_chars: n_chars}) as meta from documents")
@@ -451,18 +466,6 @@ def pdf_titles(t):
     return made(t).titles()
 
 
-@query()
-def pdf_text(t):
-    """Whole-document text by geometry."""
-    return made(t).text()
-
-
-@query()
-def pdf_regions(t):
-    """Paragraphs with their boxes."""
-    return made(t).regions()
-
-
 #: What the generator writes: 58 lines a page, 12 apart from 780 down, codes half a size wide.
 SEGMENTS = f"(select *, cast((line_no - 1) // 58 + 1 as int) as page_no, cast(780 - 12 * ((line_no - 1) % 58) as double) as y, cast(row_number() over (partition by doc_id, (line_no - 1) // 58 order by line_no) - 1 as int) as seq from {LINES} where line <> '')"
 
@@ -479,34 +482,164 @@ def pdf_lines(t):
     return made(t).lines().select("doc_id", "page_no", "line_seq", "baseline", "inline_start", "inline_end", "size", "text")
 
 
-@query()
-def pdf_objects(t):
-    """All objects."""
-    return made(t).objects().select("doc_id", "obj_num", "kind", "value")
-
-
 @query("select cast(doc_id as varchar) as doc_id, cast(5 + 2 * greatest(1, ceil(len(string_split(text, chr(10))) / 58.0)) as bigint) as objects from documents")
 def pdf_xref(t):
     """A3, A10, A11."""
     return made(t).xref().groupBy("doc_id").agg(F.count("*").alias("objects"))
 
 
-@query()
+# Books: whole files of other shapes, with header, page number, outline, form and tree
+
+#: The lines of a book, numbered from 1, and how the engine shows them: no blank beside a hyphen between the two strings of a line.
+BODY = f"(select *, regexp_replace(regexp_replace(line, '^([^ ]*-) ', '\\1'), '^([^ ]+) -', '\\1-') as shown, cast((k - 1) // 21 + 1 as int) as page, cast((k - 1) % 21 as int) as place from (select doc_id, source, row_number() over (partition by doc_id order by line_no) as k, trim(regexp_replace(line, '[ \t\v\f\r]+', ' ', 'g'), ' ') || '!' as line from {LINES} where regexp_matches(line, '[^ \t\v\f\r]')))"
+BOOKS = f"(select d.doc_id, any_value(d.source) as source, count(b.k) as n, cast(greatest(1, ceil(count(b.k) / 21.0)) as int) as pages from documents d left join {BODY} b on d.doc_id = b.doc_id group by d.doc_id)"
+#: Headers (place -1) and page numbers (place 99) of all pages.
+EDGES = f"(select doc_id, pages, u.page, u.place, case when u.place < 0 then 'Volume of ' || coalesce(source, 'none') else '- ' || u.page || ' -' end as shown from {BOOKS}, lateral (select * from (select unnest(range(1, pages + 1)) as page), (values (-1), (99)) v(place)) u)"
+#: From three pages on headers go, from two on page numbers go.
+TEXT_SQL = f"select cast(doc_id as varchar) as doc_id, string_agg(shown, chr(10) || chr(10) order by page, place) || chr(10) as text from (select doc_id, page, place, shown from {BODY} union all select doc_id, page, place, shown from {EDGES} where (place < 0 and pages < 3) or (place > 0 and pages < 2)) group by doc_id"
+
+
+def books(t, shape="plain", password=None):
+    return from_table(with_book(t("documents"), shape), "doc_id", "pdf", password)
+
+
+def geometry(t, *shape):
+    return books(t, *shape).text("geom").select("doc_id", "text")
+
+
+@query(TEXT_SQL)
+def pdf_text(t):
+    """Whole-document text by geometry, over pages."""
+    return books(t).text().select("doc_id", "text")
+
+
+@query(TEXT_SQL)
+def pdf_packed_text(t):
+    """Object streams and cross-reference streams."""
+    return geometry(t, "packed")
+
+
+@query(TEXT_SQL)
+def pdf_updated_text(t):
+    """The newest revision wins."""
+    return geometry(t, "updated")
+
+
+@query(TEXT_SQL)
+def pdf_encrypted_text(t):
+    """RC4, and AES for each tenth document."""
+    return geometry(t, F.when(F.col("doc_id") % 10 == 0, "aes").otherwise("rc4"), "quire")
+
+
+@query(f"select cast(b.doc_id as varchar) as doc_id, kind, case kind when 'container' then 6 + pages + n else pages + 3 end as objects from {BOOKS} b, (values ('container'), ('file')) k(kind)")
+def pdf_packed_xref(t):
+    """What lies in the object stream, and what in the file (contents, form, object stream, cross-references)."""
+    return books(t, "packed").xref().groupBy("doc_id", "kind").agg(F.count("*").alias("objects"))
+
+
+@query(f"select cast(b.doc_id as varchar) as doc_id, revision, case revision when 0 then pages else 7 + pages + n end as objects from {BOOKS} b, (values (0), (1)) k(revision)")
+def pdf_updated_xref(t):
+    """Revisions of objects; a freed one is left out."""
+    return books(t, "updated").xref().groupBy("doc_id", "revision").agg(F.count("*").alias("objects"))
+
+
+@query(f"select cast(b.doc_id as varchar) as doc_id, case when n = 0 then chr(10) else (select string_agg(shown, chr(10) || chr(10) order by k desc) || chr(10) from {BODY} x where x.doc_id = b.doc_id) end as text from {BOOKS} b")
+def pdf_tagged_text(t):
+    """Text in the order of the structure tree, which is not that of the pages."""
+    return books(t, "tagged").text("tagged").select("doc_id", "text")
+
+
+@query(f"select cast(x.doc_id as varchar) as doc_id, cast(b.n - x.k as int) as ord, '/StructTreeRoot,/Document,/P' as path, cast(8 + 2 * page as int) as page_ref, place as mcid from {BODY} x join {BOOKS} b on x.doc_id = b.doc_id")
+def pdf_struct_order(t):
+    """Leaves of the tree in logical order."""
+    rows = books(t, "tagged").struct_order()
+    return rows.select("doc_id", "ord", F.array_join("path", ",").alias("path"), "page_ref", "mcid")
+
+
+@query(f"select cast(doc_id as varchar) as doc_id, cast(k - 1 as int) as ord, case when k % 3 = 1 then 0 else 1 end as depth, substr(line, 1, 20) as title, cast(8 + 2 * page as int) as dest from {BODY}")
+def pdf_outline(t):
+    """Chapters and sections with the pages that they lead to."""
+    return books(t).outline().select("doc_id", "ord", "depth", "title", "dest")
+
+
+REGION_ROWS = f"(select x.doc_id, x.page, place, shown, line, case when c > 1 then 660 - 480.0 * place / (c - 1) else 660.0 end as y from (select *, count(*) over (partition by doc_id, page) as c from {BODY}) x union all select doc_id, page, place, shown, shown, case when place < 0 then 810.0 else 30.0 end from {EDGES})"
+
+
+@query(f"select cast(doc_id as varchar) as doc_id, cast(page as int) as page_no, cast(row_number() over (partition by doc_id, page order by place) as int) as para_no, 72.0::double as x0, round((y - 10)::double, 3) as y0, round((72 + 5 * length(line))::double, 3) as x1, round(y::double, 3) as y1, shown as text from {REGION_ROWS}")
+def pdf_regions(t):
+    """Paragraphs with their boxes."""
+    rows = books(t).regions()
+    return rows.select("doc_id", "page_no", "para_no", *[F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
+
+
+@query(f"select cast(doc_id as varchar) as doc_id, cast(page as int) as page_no, cast(2 * (row_number() over (partition by doc_id, page order by place) - 1) as int) as line_no, shown as line, shown from {REGION_ROWS} qualify regexp_matches(shown, 'ing|ent')".replace("shown as line, shown from", "regexp_replace(shown, 'ing|ent', chr(27) || '[31m' || '\\0' || chr(27) || '[0m') as marked from"))
 def pdf_grep(t):
-    """K1 on pages of PDF files."""
-    return made(t).grep("scum|loser").select("doc_id", "page_no", "line_no", "marked")
+    """K1 to K3 on pages of PDF files, each paragraph on a line with a blank one after it."""
+    return books(t).grep("ing|ent").select("doc_id", "page_no", "line_no", "marked")
 
 
-@query()
-def image_classify(t):
-    """L3: parts as images of 8-bit samples; what has a whole number of rows becomes PNG."""
-    from ..operators.images import classify
-    from ..sources.syntax import Name
+@query(f"select cast(doc_id as varchar) as doc_id, cast(page as int) as page_no, count(*) + count(case when place >= 0 and place < 99 and contains(line, ' ') then 1 end) as items from {REGION_ROWS} where page = 2 group by doc_id, page")
+def pdf_page_select(t):
+    """only the page asked for is interpreted; a line of several words is two segments."""
+    return books(t).items(pages=[2]).groupBy("doc_id", "page_no").agg(F.count("*").alias("items"))
+
+
+@query(f"select cast(b.doc_id as varchar) as doc_id, cast(p.page as int) as page_no, 'Fm0' as name, cast(10 + 2 * pages as int) as form_ref from {BOOKS} b, lateral (select unnest(range(1, pages + 1)) as page) p")
+def pdf_forms(t):
+    """Forms that pages inherit."""
+    return books(t).forms()
+
+
+@query(f"select cast(b.doc_id as varchar) as doc_id, cast(7 as bigint) as objects, coalesce((select shown from {BODY} x where x.doc_id = b.doc_id and k = 1), 'empty!') || chr(10) as text from {BOOKS} b")
+def pdf_form_closure(t):
+    """A form and all that it refers to as a file of its own, read again."""
+    files = books(t).export_form(1, "Fm0")
+    again = from_table(files, "doc_id", "pdf")
+    return again.xref().groupBy("doc_id").agg(F.count("*").alias("objects")).join(again.text("geom").select("doc_id", "text"), "doc_id")
+
+
+@query(f"select cast(b.doc_id as varchar) as doc_id, kind, case kind when 'stream' then pages + 1 else 6 + pages + n end as objects from {BOOKS} b, (values ('stream'), ('dict')) k(kind)")
+def pdf_objects(t):
+    """All objects by kind."""
+    return books(t).objects().groupBy("doc_id", "kind").agg(F.count("*").alias("objects"))
+
+
+@query(f"select cast(doc_id as varchar) as doc_a, cast(page - 1 as int) as ord, cast(page as int) as page_a, 1 as para_a, 1 as para_b, shown as old, 'Another!' as new from {BODY} where place = 0 and shown <> 'Another!'")
+def pdf_diff(t):
+    """K5 to K9: each book against one with another first line on every page."""
+    docs = t("documents")
+    lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t\x0b\f\r]+", " "))), lambda x: x != "")
+    other = docs.withColumn("text", F.array_join(F.transform(lines, lambda x, k: F.when(k % 21 == 0, "Another").otherwise(x)), "\n"))
+    a, b = books(t), from_table(with_book(other), "doc_id", "pdf")
+    return diff(a, b, docs.select(F.col("doc_id").cast("string").alias("doc_a"), F.col("doc_id").cast("string").alias("doc_b"))).select("doc_a", "ord", "page_a", "para_a", "para_b", "old", "new")
+
+
+def pictures(t):
+    """A file for each part, with one image of p_size x p_size samples: grey ones, and of each third part four inks."""
+    from ..operators.forms import write_pdf
+    from ..sources.syntax import Name, Ref, Stream
 
     def run(key: int, size: int, name: str) -> list[tuple]:
-        data = (name.encode() * (size * size))[: size * size]
-        info = {"/Width": float(size), "/Height": float(size), "/BitsPerComponent": 8.0, "/ColorSpace": Name("/DeviceGray" if key % 3 else "/DeviceCMYK")}
-        kind, out = classify(info, data)
-        return [(key, kind, len(out))]
+        inks = 4 if key % 3 == 0 else 1
+        data = (name.encode() * (inks * size * size))[: inks * size * size]
+        image = Stream({"/Type": Name("/XObject"), "/Subtype": Name("/Image"), "/Width": float(size), "/Height": float(size), "/BitsPerComponent": 8.0, "/ColorSpace": Name("/DeviceCMYK" if inks > 1 else "/DeviceGray")}, data)
+        page = {"/Type": Name("/Page"), "/Parent": Ref(2), "/MediaBox": [0.0, 0.0, 300.0, 300.0], "/Resources": {"/XObject": {"/Im": Ref(5)}}, "/Contents": Ref(4)}
+        objects = {1: {"/Type": Name("/Catalog"), "/Pages": Ref(2)}, 2: {"/Type": Name("/Pages"), "/Kids": [Ref(3)], "/Count": 1.0}, 3: page, 4: Stream({}, b"q %d 0 0 %d 50 100 cm /Im Do Q" % (2 * size, size)), 5: image}
+        return [(key, write_pdf(objects, {"/Root": Ref(1)}))]
+
+    return from_table(map_rows(t("part").select("p_partkey", "p_size", "p_name"), run, "p_partkey bigint, pdf binary"), "p_partkey", "pdf")
+
+
+@query("select cast(p_partkey as varchar) as doc_id, 1 as page_no, 1 as idx, 5 as ref, case when p_partkey % 3 = 0 then 'raw' else 'png' end as format, 50.0::double as x0, 100.0::double as y0, (50 + 2 * p_size)::double as x1, (100 + p_size)::double as y1, case when p_partkey % 3 = 0 then 'page1-001.raw' else 'page1-001.png' end as file, p_partkey % 3 = 0 as sidecar, cast(case when p_partkey % 3 = 0 then 4 * p_size * p_size else p_size end as bigint) as size from part")
+def pdf_images(t):
+    """Images with their boxes; of raw ones the length, of PNG files the height that their header tells."""
+    png = F.conv(F.hex(F.substring("bytes", 21, 4)), 16, 10).cast("long")
+    size = F.when(F.col("format") == "raw", F.octet_length("bytes").cast("long")).otherwise(png)
+    return pictures(t).images().select("doc_id", "page_no", "idx", "ref", "format", "x0", "y0", "x1", "y1", "file", F.col("sidecar").isNotNull().alias("sidecar"), size.alias("size"))
+
 
-    return map_rows(t("part").select("p_partkey", "p_size", "p_name"), run, "p_partkey bigint, format string, length bigint")
+@query("select cast(doc_id as varchar) as doc_id, cast((line_no - 1) // 58 + 1 as int) as page_no, cast(sum(len(regexp_extract_all(line, '[^\\s]+'))) as bigint) as words from LINES group by 1, 2".replace("LINES", LINES))
+def stream_pages(t):
+    """E2, and SURVEY's streaming query: documents arrive as a stream of files, whose pages are written by the executors."""
+    pages = pages_of_batches(t("documents"))
+    return pages.select("doc_id", "page_no", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("words"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from tempfile import gettempdir
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,6 +33,31 @@ def for_each_page(pages: DataFrame, call: Callable[[str, int, str], None], check
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def to_table(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes pages to Parquet files under `path`, by the executors, each page once, until no new file is left."""
+    return pages.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def pages_of_batches(docs: DataFrame) -> DataFrame:
+    """Stream-order text of the pages of documents (a DataFrame over Parquet files) that are read as a stream of files, made into PDF files and read on the way. The result is a table in the shared folder."""
+    from ..sources.reader import from_table
+    from ..sources.sinks import with_pdf
+
+    spark = docs.sparkSession
+    arriving = spark.readStream.schema(docs.schema).parquet(*{f.rsplit("/", 1)[0] + "/*" + f.rsplit("/", 1)[1] for f in docs.inputFiles()})
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    to_table(from_table(with_pdf(arriving), "doc_id", "pdf").legacy_pages(), f"{folder}/pages", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/pages")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; a session on one machine may name nothing."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or f"file://{gettempdir()}/quire-streams"
+
+
 def document_text(pages: DataFrame) -> DataFrame:
     """Pages put together in order: for a batch of whole files."""
     parts = F.array_sort(F.collect_list(F.struct("page_no", "text")))
