@@ -13,7 +13,7 @@ from quire.functions import columns as C, matrix, numbers, text as T
 from quire.operators import diff, forms, images, layout, outline
 from quire.operators.interpret import Glyph
 from quire.plans import catalogue
-from quire.sources import datasource, reader, sinks, udtf
+from quire.sources import books, datasource, reader, sinks, udtf
 from quire.sources.document import Document
 from quire.sources.generate import text_pdf
 from quire.sources.syntax import Name, PdfError
@@ -41,9 +41,45 @@ def test_query_against_sql(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(tuple(r[k] for k in order)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_query_has_rows(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+def test_paragraphs_that_feed_back(spark):
+    """Each decision by a plain look at all gaps accepted before it."""
+    want = set()
+    users = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id").collect():
+        users.setdefault(r.user_id, []).append((r.at, r.event_id))
+    for user, events in users.items():
+        number, accepted, before = 1, [], None
+        for at, event in sorted(events):
+            if before is not None:
+                gap, usual = at - before, float(np.median(accepted)) if len(accepted) > 1 else 1.2 * 3600
+                if gap > 1.6 * usual:
+                    number += 1
+                else:
+                    accepted.append(gap)
+            before = at
+            want.add((user, event, number))
+    assert {tuple(r) for r in catalogue.QUERIES["leading_breaks_feedback"](spark, SF).collect()} == want
+
+
+def test_neighbours_differ_as_by_plain_tables(spark):
+    docs = sorted(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id", "text").collect()))
+    got = {}
+    for r in catalogue.QUERIES["diff_lcs"](spark, SF).orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append((r.para_a, r.para_b))
+    seen = 0
+    for (s, _, before), (other, doc, text) in zip(docs, docs[1:]):
+        if s == other and before is not None and text is not None:
+            a, b = before.split("\n"), text.split("\n")
+            changes = got.get(doc, [])
+            kept = [[x for k, x in enumerate(own) if k not in {c[side] for c in changes}] for side, own in enumerate((a, b))]
+            assert [" ".join(x.split()) for x in kept[0]] == [" ".join(x.split()) for x in kept[1]]
+            assert len(kept[0]) == plain_lcs([" ".join(x.split()) for x in a], [" ".join(x.split()) for x in b])[-1, -1]
+            seen += 1
+    assert seen > 50 and set(got) <= {d for _, d, _ in docs}
+
+
+def test_all_other_queries_have_sql():
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"leading_breaks_feedback", "diff_lcs"}
 
 
 @pytest.fixture(scope="module")
@@ -83,10 +119,34 @@ def test_long_documents_in_ranges(spark, folder, monkeypatch):
     monkeypatch.setattr(reader, "LONG_BYTES", 0)
     monkeypatch.setattr(reader, "RANGE_PAGES", 1)
     files = reader.read_pdf(spark, str(folder))
-    assert files.ranges().count() == 7
+    ranges = files.ranges().collect()
+    assert len(ranges) == 7 and sum(not r.whole for r in ranges) == 4
+    size = len((folder / "sub" / "d.pdf").read_bytes())
+    assert all(len(r.content) < size for r in ranges if not r.whole)  # a range doesn't carry its file
     assert sorted(map(tuple, files.lines().collect()), key=str) == whole
 
 
+def test_ranges_of_all_shapes(spark, tmp_path, monkeypatch):
+    """Items and text of long files that are dealt out by pages are those of the whole files, page and object numbers included."""
+    text = "\n".join(f"line {k} of a book" for k in range(70))
+    for shape in books.SHAPES:
+        (tmp_path / f"{shape}.pdf").write_bytes(books.book_pdf(text, shape, "Volume", shape))
+    (tmp_path / "broken.pdf").write_bytes(books.book_pdf(text, "b", "Volume").replace(b"/Contents 13 0 R", b"/Contents 99 0 R"))
+    corpus = reader.read_pdf(spark, str(tmp_path), "quire")
+    want = [sorted(map(tuple, df.collect()), key=str) for df in (corpus.items(), corpus.text(), corpus.text("geom"), corpus.regions(pages=[2, 4]))]
+    monkeypatch.setattr(reader, "LONG_BYTES", 0)
+    monkeypatch.setattr(reader, "RANGE_PAGES", 2)
+    assert corpus.ranges().where("not whole").count() == 14
+    got = [sorted(map(tuple, df.collect()), key=str) for df in (corpus.items(), corpus.text(), corpus.text("geom"), corpus.regions(pages=[2, 4]))]
+    assert got == want and len(want[1]) >= 6
+
+
+def test_a_table_is_read_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = reader.from_table(sinks.with_book(docs), "doc_id", "pdf").items()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 2 and "Exchange" not in plan
+
+
 def test_password(spark):
     df = spark.createDataFrame([(1, encrypted(show(b"secret"), True, b"user"))], "k int, pdf binary")
     assert reader.from_table(df, "k", "pdf", "user").text().first().text == "secret\n"
@@ -130,6 +190,15 @@ def test_sinks(spark, tmp_path):
     assert len(Document((tmp_path / "2.pdf").read_bytes()).pages()) == 1
 
 
+def test_files_of_several_documents_stay_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", "page1-001.png", bytearray(b"one")), ("c", "page1-001.png", bytearray(b"two"))], "doc_id string, file string, bytes binary")
+    for _ in range(2):  # a task that runs again finds its own files
+        assert sinks.write_files(rows, str(tmp_path / "apart"), "file", "bytes", "doc_id").count() == 2
+    assert {p.parent.name: p.read_bytes() for p in (tmp_path / "apart").rglob("*.png")} == {"a%2Fb": b"one", "c": b"two"}
+    with pytest.raises(Exception, match="another content"):
+        sinks.write_files(rows.coalesce(1), str(tmp_path / "together"), "file", "bytes").collect()
+
+
 def test_stream(spark, folder, tmp_path):
     seen = []
     streaming.for_each_page(streaming.stream_pages(streaming.stream_files(spark, str(folder))), lambda *r: seen.append(r), str(tmp_path)).awaitTermination()
@@ -146,7 +215,7 @@ def test_streamed_pages_make_the_document(spark, folder):
 
 # Functions and their column twins
 
-SAMPLES = ["", " ", "a. x", "12. code", "123. x", "b .y", "Sample Book 12", "xiv", "page IV of 7", "- 3 -", "end。」", "end.", "why?\"", "日本", "カタカナ kana", "한글", "Hello, World", "ivxlcdmivx", "#", "3/4", " \t x  y\r\n"]
+SAMPLES = ["", " ", "a. x", "12. code", "123. x", "b .y", "Sample Book 12", "xiv", "page IV of 7", "- 3 -", "end。」", "end.", "why?\"", "日本", "カタカナ kana", "한글", "Hello, World", "ivxlcdmivx", "#", "3/4", " \t x  y\r\n", "第\u30003\u3000章", "\u00a0a\u3000b\u2003", "\u3000a. x", "\x1c1 .", "終。\u3000", "\u303f\u4dc0\ufe50\u1100\ua000\U00020000\U0001f600", "\u2028"]
 
 
 def test_column_twins(spark):
@@ -237,11 +306,34 @@ def plain_lcs(a, b):
     return out
 
 
+def plain_changes(a, b):
+    """The walk back over a whole table; neighbours of an insertion and a removal are put together."""
+    table, i, j, steps = plain_lcs(a, b), len(a), len(b), []
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif j and (not i or table[i - 1, j] <= table[i, j - 1]):
+            j -= 1
+            steps.append((None, j))
+        else:
+            i -= 1
+            steps.append((i, None))
+    out = []
+    while steps:
+        one = steps.pop(0)
+        if steps and (one[0] is None) != (steps[0][0] is None):
+            two = steps.pop(0)
+            one = (two[0] if one[0] is None else one[0], two[1] if one[1] is None else one[1])
+        out.append(one)
+    return [diff.Change("text", para_a=x, para_b=y, old="" if x is None else a[x], new="" if y is None else b[y]) for x, y in out]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_common_lengths(a, b):
-    assert (diff.common_lengths(a, b) == plain_lcs(a, b)).all()
+    assert (np.stack(list(diff.length_rows(a, b))) == plain_lcs(a, b)).all()
     changes = diff.paragraph_changes(a, b)
+    assert changes == plain_changes(a, b)
     kept_a = [x for k, x in enumerate(a) if k not in {c.para_a for c in changes}]
     kept_b = [x for k, x in enumerate(b) if k not in {c.para_b for c in changes}]
     assert kept_a == kept_b and len(kept_a) == plain_lcs(a, b)[-1, -1]
@@ -251,6 +343,8 @@ def test_change_order_and_rendering():
     got = diff.paragraph_changes(["x1", "x2"], ["y1", "y2"])
     assert [(c.old, c.new) for c in got] == [("", "y2"), ("x2", "y1"), ("x1", "")]
     assert diff.paragraph_changes(["a  b"], ["a b"]) == []
+    two = [["x1", "same", "x2"]], [["y1", "same", "y2"]]
+    assert [c.old for c in diff.document_changes(*two)] == ["x2", "x1"] and [c.old for c in diff.document_changes(*two, ascending=True)] == ["x1", "x2"]
     every = diff.document_changes([["a"], ["gone"]], [["b"]])
     assert json.loads(diff.to_json(every))[0] == {"type": "pageCountMismatch", "pagesA": 2, "pagesB": 1}
     assert diff.to_text(every)[1:] == ["page 1:\npara 1:\n- old: a\n+ new: b\n", "page 2 (only in first file):\npara 1:\n- old: gone\n+ new: \n"]
@@ -290,16 +384,27 @@ def test_form_export():
 
 
 def test_pushed_filter_and_pruned_columns(spark):
-    plan = catalogue.QUERIES["page_select"](spark, SF)._jdf.queryExecution().toString()
-    assert "EqualTo(doc_id,7)" in plan and not re.search(r"ReadSchema:.*lang", plan)
+    plan = reader.read_pdf(spark, SF).where("length > 1000").titles()._jdf.queryExecution().toString()
+    assert "GreaterThan(length,1000)" in plan
+    plan = catalogue.QUERIES["grep_lines"](spark, SF)._jdf.queryExecution().toString()
+    assert not re.search(r"ReadSchema:.*lang", plan)
 
 
-def test_running_offsets_over_many_ranges(spark):
+def test_running_offsets_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "RANGE_KEYS", 16)
     df = spark.createDataFrame([(k, k % 7) for k in range(500)], "k int, n int").repartition(8)
     got = {r.k: r.offset for r in catalogue.running_offsets(df, "k", "n").collect()}
     assert all(got[k] == sum(j % 7 for j in range(k)) for k in range(500))
 
 
+def test_numbers_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "RANGE_KEYS", 16)
+    df = spark.createDataFrame([(("a", "b", None)[k % 3], k * 5) for k in range(300)], "g string, k int").repartition(8)
+    rows = catalogue.numbered(df, "g", "k", "n").collect()
+    for g in ("a", "b", None):
+        assert [r.n for r in sorted((r for r in rows if r.g == g), key=lambda r: r.k)] == list(range(1, 101))
+
+
 def test_line_band_twin(spark):
     df = spark.createDataFrame([(1, 50.0), (1, 700.0), (1, 750.0), (1, 400.0), (2, 5.0)], "p int, y double")
     got = {(r.p, r.y): r.b for r in df.select("p", "y", C.line_band(F.col("y"), Window.partitionBy("p")).alias("b")).collect()}
