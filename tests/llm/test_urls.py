@@ -52,6 +52,13 @@ def test_many_rules(spark, monkeypatch):
     assert sorted(map(tuple, urls.judge(df, rules).collect())) == want
     monkeypatch.setattr(urls, "INLINE_RULES", 5)
     assert sorted(map(tuple, urls.judge(df, rules).collect())) == want
+    monkeypatch.setattr(urls, "HOT", 7)  # tokens of more URLs are dealt out
+    assert sorted(map(tuple, urls.judge(df, rules).collect())) == want
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+    twice = df.unionByName(df)
+    assert sorted(map(tuple, urls.judge(twice, rules).collect())) == sorted(want * 2)
+    nulls = spark.createDataFrame([(1, None), (None, "https://a/x"), (2, "none")], "page_id bigint, url string")
+    assert sorted((tuple(r) for r in urls.judge(nulls, rules).collect()), key=str) == sorted(((x.page_id, *brute(x.url, rules)) for x in nulls.collect()), key=str)
 
 
 def test_wildcards(spark):
