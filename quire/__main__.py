@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("view", "a window of the text")
     p.add_argument("--height")
     p.add_argument("--line", type=int, default=1)
+    p.add_argument("-i", "--interactive", action="store_true", help="go on with commands from the input, one a line: " + " ".join((view.Viewer.__doc__ or "").split()))
     return top
 
 
@@ -90,8 +91,13 @@ def run(a: argparse.Namespace) -> int:
     elif a.command == "view":
         lines = extract.text(doc, "legacy").split("\n")
         rows = view.viewport_height(os.get_terminal_size().lines if sys.stdout.isatty() else 24, view.height_spec(a.height or ""))
-        first, last = view.Scroll(0, len(lines), rows).to(a.line - 1).visible()
-        print("\n".join(lines[first:last]))
+        window = view.Viewer(lines, rows)
+        window.do(str(max(1, a.line)))
+        print("\n".join(window.shown() if a.interactive else window.shown()[:-1]))
+        for command in sys.stdin if a.interactive else ():
+            if not window.do(command.strip()):
+                break
+            print("\n".join(window.shown()))
     else:
         print({"info": lambda: show(doc.info()), "title": lambda: outline.title(doc), "toc": lambda: outline.outline_text(outline.outline(doc)), "trailer": lambda: show(doc.trailer), "refs": lambda: "[" + ",".join(map(str, doc.pages())) + "]"}[a.command]())
     return 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import struct
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
+from os import environ
 from typing import Any
 
 from ..sources.syntax import END, Hex, Name, PdfError, Ref, Scanner, Stream, Word, text_of
@@ -14,9 +16,10 @@ from .numbers import pairs, sjis_codes, utf16_codes
 #: A range of a character map that is wider than this is cut.
 RANGE_SPAN = 65536
 VERTICAL_WIDTH = -1000.0
+#: Names of predefined encodings by the codes that they read.
 SJIS = ("/90ms-RKSJ-H", "/90ms-RKSJ-V", "/90msp-RKSJ-H", "/90msp-RKSJ-V", "/RKSJ-H", "/RKSJ-V")
 UNIJIS = ("/UniJIS-UCS2-H", "/UniJIS-UCS2-V", "/UniJIS-UCS2-HW-H", "/UniJIS-UCS2-HW-V", "/UniJIS-UTF16-H", "/UniJIS-UTF16-V", "/UniJIS2004-UTF16-H", "/UniJIS2004-UTF16-V")
-#: Adobe-Japan1 characters by number. The table can't be made from what is at hand; callers may fill it.
+#: Adobe-Japan1 characters by number. The table can't be made from what is at hand; adobe_japan1() reads a published one.
 ADOBE_JAPAN1: dict[int, str] = {}
 
 
@@ -61,7 +64,7 @@ class Font:
         if enc.kind == "charset" and enc.name == "ZapfDingbats" and code in DINGBAT_BULLETS:
             return "•"
         if enc.kind == "cid" and enc.name == "Adobe-Japan1" or enc.kind == "null" and self.code_bytes == 2:
-            return ADOBE_JAPAN1.get(code) or safe_chr(code)
+            return adobe_japan1().get(code) or safe_chr(code)
         return safe_chr(code)
 
     def width(self, code: int) -> float:
@@ -86,6 +89,15 @@ def utf16(value: Hex) -> str:
     return bytes(value).decode("utf-16-be", "replace") if len(value) > 1 else "".join(map(chr, value))
 
 
+@lru_cache(1)
+def adobe_japan1() -> dict[int, str]:
+    """Characters of Adobe-Japan1: ADOBE_JAPAN1, filled from the published map (the ToUnicode resource `Adobe-Japan1-UCS2`) that the environment variable QUIRE_ADOBE_JAPAN1 names. On a cluster the file has to be at this place on all executors."""
+    if path := environ.get("QUIRE_ADOBE_JAPAN1"):
+        with open(path, "rb") as f:
+            ADOBE_JAPAN1.update(character_map(f.read()))
+    return ADOBE_JAPAN1
+
+
 def character_map(data: bytes) -> dict[int, str]:
     """bfchar and bfrange entries of a ToUnicode stream; the first entry for a code that comes last wins."""
     out: dict[int, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from ..functions.fonts import ADOBE_JAPAN1, Font, load
+from ..functions.fonts import Font, adobe_japan1, load
 from ..functions.glyphs import extended_ascii, glyph_text, jis_text, safe_chr, sjis_text
 from ..functions.numbers import pairs, sjis_codes, utf16_codes
 from ..sources.document import Document
@@ -224,8 +224,8 @@ class Legacy:
             return {"sjis": sjis_text, "unicode": safe_chr, "jis": jis_text}[kind](code)
         if known:
             return safe_chr(code)
-        if code in ADOBE_JAPAN1:
-            return ADOBE_JAPAN1[code]
+        if code in adobe_japan1():
+            return adobe_japan1()[code]
         self.warnings.append(("UNMAPPED_CID", str(code)))
         return f"[{code}]"
 

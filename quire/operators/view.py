@@ -45,6 +45,34 @@ def search_backward(fits: Callable[[str], bool], start: int, lines: Sequence[str
     return next((k for k in range(min(start, len(lines) - 1), -1, -1) if fits(lines[k])), None)
 
 
+class Viewer:
+    """A window that commands move: `j` and `k` by a line, `d` and `u` by half a window, `g` and `G` to the ends, a number to that line, `/words` and `?words` to the next line forwards or backwards that has them, `n` and `N` on in the same or the other direction, `q` to leave."""
+
+    def __init__(self, lines: Sequence[str], rows: int):
+        self.lines, self.scroll, self.sought, self.back = lines, Scroll(0, len(lines), rows), "", False
+
+    def shown(self) -> list[str]:
+        first, last = self.scroll.visible()
+        return [*self.lines[first:last], f"-- {self.scroll.status()} of {len(self.lines)} --"]
+
+    def do(self, command: str) -> bool:
+        """Whether the viewer goes on."""
+        moves = {"j": lambda s: s.by(1), "": lambda s: s.by(1), "k": lambda s: s.by(-1), "d": Scroll.half_page, "u": lambda s: s.half_page(False), "g": lambda s: s.to(0), "G": Scroll.end}
+        if command in moves:
+            self.scroll = moves[command](self.scroll)
+        elif command.isdecimal():
+            self.scroll = self.scroll.to(int(command) - 1)
+        elif command[:1] in ("/", "?") or command in ("n", "N"):
+            if command not in ("n", "N"):
+                self.sought, self.back = command[1:] or self.sought, command[0] == "?"
+            back = self.back != (command == "N")
+            fits = lambda line: self.sought in line
+            hit = search_backward(fits, self.scroll.top - 1, self.lines) if back else search_forward(fits, self.scroll.top + 1, self.lines)
+            if hit is not None and (not back or self.scroll.top):
+                self.scroll = self.scroll.to(hit)
+        return command != "q"
+
+
 def height_spec(text: str) -> tuple[str, int] | None:
     """("rows", n) or ("percent", n)."""
     m = re.fullmatch(r"([0-9]+)(%?)", text)

@@ -1,4 +1,4 @@
-"""Table functions for SQL: pdf_pages(content), pdf_items(content, page), pdf_regions(content), pdf_raw_objects(content)."""
+"""Table functions for SQL: pdf_pages(content), pdf_items(content, page), pdf_regions(content), pdf_raw_objects(content). A password may follow."""
 
 from __future__ import annotations
 
@@ -13,17 +13,17 @@ from .document import Document
 from .syntax import PdfError, show
 
 
-def open_or_none(content: bytes | None) -> Document | None:
+def open_or_none(content: bytes | None, password: str | None) -> Document | None:
     try:
-        return Document(bytes(content or b""))
+        return Document(bytes(content or b""), password)
     except PdfError:
         return None
 
 
 @udtf(returnType="page_no int, page_ref int, text string")
 class PdfPages:
-    def eval(self, content: bytes) -> Iterator[tuple]:
-        doc = open_or_none(content)
+    def eval(self, content: bytes, password: str | None = None) -> Iterator[tuple]:
+        doc = open_or_none(content, password)
         for k, ref in enumerate(doc.pages() if doc else [], 1):
             try:
                 yield k, ref, extract.one_page(doc, k)
@@ -33,8 +33,8 @@ class PdfPages:
 
 @udtf(returnType="seq int, kind string, text string, x double, y double, width double, size double")
 class PdfItems:
-    def eval(self, content: bytes, page: int) -> Iterator[tuple]:
-        doc = open_or_none(content)
+    def eval(self, content: bytes, page: int, password: str | None = None) -> Iterator[tuple]:
+        doc = open_or_none(content, password)
         try:
             items = page_items(doc, doc.page(page)) if doc else []
         except PdfError:
@@ -45,8 +45,8 @@ class PdfItems:
 
 @udtf(returnType="page_no int, para_no int, x0 double, y0 double, x1 double, y1 double, text string")
 class PdfRegions:
-    def eval(self, content: bytes) -> Iterator[tuple]:
-        doc = open_or_none(content)
+    def eval(self, content: bytes, password: str | None = None) -> Iterator[tuple]:
+        doc = open_or_none(content, password)
         interpreter = Interpreter(doc)
         for k, ref in enumerate(doc.pages() if doc else [], 1):
             try:
@@ -58,8 +58,8 @@ class PdfRegions:
 
 @udtf(returnType="obj_num int, value string")
 class PdfRawObjects:
-    def eval(self, content: bytes) -> Iterator[tuple]:
-        doc = open_or_none(content)
+    def eval(self, content: bytes, password: str | None = None) -> Iterator[tuple]:
+        doc = open_or_none(content, password)
         for n in sorted(doc.xref) if doc else []:
             if doc.xref[n].kind != "free":
                 yield n, show(doc.get(n))

@@ -42,5 +42,22 @@ def test_window():
     assert [view.viewport_height(40, s) for s in (None, ("rows", 3), ("percent", 100))] == [20, 6, 40]
 
 
+def test_viewer():
+    v = view.Viewer([f"line {k}" for k in range(1, 31)], 6)
+    steps = {"j": 2, "": 3, "k": 2, "d": 5, "u": 2, "G": 25, "g": 1, "12": 12, "/line 2": 20, "n": 21, "N": 20, "?line 1": 19, "/nowhere": 19}
+    for command, first in steps.items():
+        assert v.do(command) and v.shown()[0] == f"line {first}" and v.shown()[-1] == f"-- {first} of 30 --", command
+    assert not v.do("q")
+
+
+def test_view_takes_commands(tmp_path, capsys, monkeypatch):
+    path = tmp_path / "a.pdf"
+    path.write_bytes(text_pdf("\n".join(f"row {k}" for k in range(1, 40))))
+    monkeypatch.setattr("sys.stdin", ["/row 20\n", "q\n", "j\n"])
+    assert main(["view", "--height", "6", "-i", str(path)]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[6] == "-- 1 of 40 --" and out[7] == "row 20" and len(out) == 14
+
+
 def test_color_spaces():
     assert legacy.color_spaces(b"/Cs1 cs 0 0 1 rg 0.5 G /P CS 1 0 0 0 k") == ["Cs1", "DeviceRGB", "DeviceGray", "P", "DeviceCMYK"]

@@ -180,6 +180,9 @@ def test_table_functions(spark):
     assert spark.sql("select i.text from files, lateral pdf_items(pdf, 1) i").count() == 2
     assert spark.sql("select r.text from files, lateral pdf_regions(pdf) r").first()[0] == "a b c"
     assert spark.sql("select o.* from files, lateral pdf_raw_objects(pdf) o").count() == 7
+    spark.createDataFrame([(1, books.book_pdf("locked", "t", "h", "rc4"))], "k int, pdf binary").createOrReplaceTempView("locked")
+    assert "locked!" in spark.sql("select p.text from locked, lateral pdf_pages(pdf, 'quire') p").first()[0]
+    assert spark.sql("select p.text from locked, lateral pdf_pages(pdf) p").count() == 0
 
 
 def test_sinks(spark, tmp_path):
