@@ -16,9 +16,13 @@ from .document import Document
 from .syntax import PdfError
 
 
+#: Bytes of files that a task reads, about; a larger file is a task of its own. A file counts as OPEN bytes more.
+PART_BYTES, OPEN = 32 << 20, 256 << 10
+
+
 class PdfPart(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class PdfSource(DataSource):
@@ -55,23 +59,37 @@ class PdfReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[PdfPart]:
+        """Files in the order of their paths, put together up to PART_BYTES."""
         root = Path(self.path)
-        return [PdfPart(str(p)) for p in ([root] if root.is_file() else sorted(root.rglob("*.pdf")))]
+        parts: list[list[str]] = []
+        room = 0
+        for p in [root] if root.is_file() else sorted(root.rglob("*.pdf")):
+            size = p.stat().st_size + OPEN
+            if not parts or size > room:
+                parts.append([])
+                room = PART_BYTES
+            parts[-1].append(str(p))
+            room -= size
+        return [PdfPart(p) for p in parts]
 
     def read(self, partition: PdfPart) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from self.pages(path)
+
+    def pages(self, path: str) -> Iterator[tuple]:
         try:
-            doc = Document(Path(partition.path).read_bytes(), self.password)
+            doc = Document(Path(path).read_bytes(), self.password)
             refs = doc.pages()
         except PdfError as e:
-            yield partition.path, None, None, str(e)
+            yield path, None, None, str(e)
             return
         for k in range(max(1, self.first), min(self.last, len(refs)) + 1):
             if self.chosen is None or k in self.chosen:
                 try:
                     text = extract.one_page(doc, k) if self.mode == "geom" else legacy.Legacy(doc).page(refs[k - 1])
-                    yield partition.path, k, text, None
+                    yield path, k, text, None
                 except PdfError as e:
-                    yield partition.path, k, None, str(e)
+                    yield path, k, None, str(e)
 
 
 def register(spark) -> None:

@@ -161,7 +161,7 @@ def test_diff(spark):
     assert [r.page_b for r in got] == [None, 1, 2]
 
 
-def test_data_source(spark, folder):
+def test_data_source(spark, folder, monkeypatch):
     datasource.register(spark)
     df = spark.read.format("pdf").option("path", str(folder)).load()
     assert df.where("error is null").count() == 6
@@ -170,6 +170,9 @@ def test_data_source(spark, folder):
     rest = list(r.pushFilters([datasource.EqualTo(("page_no",), 2), datasource.EqualTo(("path",), "x")]))
     assert len(rest) == 1 and (r.first, r.last) == (2, 2)
     assert df.where("page_no = 2").count() == 1
+    assert len(r.partitions()) == 1
+    monkeypatch.setattr(datasource, "PART_BYTES", datasource.OPEN + 3000)
+    assert [len(p.paths) for p in datasource.PdfReader({"path": str(folder)}).partitions()] == [1, 1, 1, 1] and df.where("error is null").count() == 6
     assert spark.read.format("pdf").option("path", str(folder / "b.pdf")).option("mode", "legacy").load().first().text == " \nHello b"
 
 
