@@ -1,28 +1,31 @@
 """Operator 3: BPE encoding and decoding by batched numpy merge rounds.
 
-The symbols of all new words of a batch lie in one flat integer array. In each round the keys of adjacent symbols are looked up by binary search among the sorted keys of the merge table, every word finds the lowest rank among its pairs, and that pair is merged wherever it stands in the word. Words that are done leave the array. Results are kept for each word, in a cache of bounded size, so that a word is merged once for many occurrences.
+The symbols of all new words of a batch lie in one flat integer array. In each round the keys of adjacent symbols are looked up by binary search among the sorted keys of the merge table, every word finds the lowest rank among its pairs, and that pair is merged wherever it stands in the word. Words that are done leave the array. Results are kept for each word, in a cache of CACHE_BYTES at most, so that a word is merged once for many occurrences. Ids are int32 arrays throughout; the decoded text is made from them.
 
 Latin texts are normalised and cut into words by patterns here, other texts by the tokenizer file's own normaliser and pre-tokenizer; the encoding itself does not use the library.
 
-Edge cases: a null or empty text has no tokens, and its hashes are those of the empty string. Repeated rows give repeated rows. An empty table gives an empty table. Columns other than the id and the text are not passed on, so names can't clash. A text of any length is encoded whole: its words are independent.
+Edge cases: a null or empty text has no tokens, and its hashes are those of the empty string. Repeated rows give repeated rows. An empty table gives an empty table. Columns other than the id and the text are not passed on, so names can't clash. A text of any length is encoded whole: its words are independent, so a text of over PIECE characters is taken in pieces that end at a blank or line end, and a task holds its ids (four bytes each), its decoded text's hash and one piece.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow
 
-#: Above this many kept words, only those of the texts at hand stay.
-CACHE_WORDS = 250_000
+#: When the kept words take more than CACHE_BYTES (an entry has about ENTRY bytes besides its word and ids), only those of the texts at hand stay.
+CACHE_BYTES, ENTRY = 16 << 20, 220
+#: Characters that a piece of a long text has, about; ids that are put into words at once; bytes of text in a batch.
+PIECE, AT_ONCE, BATCH = 1 << 20, 1 << 16, 1 << 20
 NONE = np.int64(1) << 40
 
 
@@ -44,12 +47,14 @@ class Tokenizer:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in [*vocab.items(), *self.special.items()]}
-        self.ids = {s: str(i) for s, i in vocab.items()}
-        library = Library.from_file(path)
+        named = {i: s for s, i in [*vocab.items(), *self.special.items()]}
+        self.names = [named.get(i) for i in range(max(named, default=-1) + 1)]
+        # The library is asked for words only, so it gets no vocabulary.
+        library = Library.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": [], "unk_token": None}, "added_tokens": [], "post_processor": None, "decoder": None}))
         self.normalizer, self.pre = library.normalizer, library.pre_tokenizer
+        self.apart = not any(c.isspace() for t in self.special for c in t)
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        end, size = model["end_of_word_suffix"] or "", len(self.names) + 1
+        end, size = model["end_of_word_suffix"] or "", max(max(vocab.values()), len(named)) + 1
         self.size = size
         chars = byte_chars()
         missing = [c for c in chars if c not in vocab or c + end not in vocab]
@@ -72,8 +77,8 @@ class Tokenizer:
         np.minimum.at(first_use, left, np.arange(len(pairs)))
         np.minimum.at(first_use, right, np.arange(len(pairs)))
         self.at_once = first_use[made] > np.arange(len(pairs))
-        self.fixed = {s: (1, str(i), s) for s, i in self.special.items()}
-        self.cache: dict[str, tuple[int, str, str]] = dict(self.fixed)
+        self.fixed = {s: np.array([i], np.int32).tobytes() for s, i in self.special.items()}
+        self.cache, self.room = dict(self.fixed), CACHE_BYTES
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text; special tokens are words of their own."""
@@ -128,35 +133,69 @@ class Tokenizer:
             sym, word = sym[keep], word[keep]
         out_word = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
         out_sym = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int64)
-        flat_ids = out_sym[np.argsort(out_word, kind="stable")].tolist()
-        cuts = [0, *np.cumsum(np.bincount(out_word, minlength=len(words))).tolist()]
-        return [flat_ids[a:b] for a, b in itertools.pairwise(cuts)]
+        flat_ids = out_sym[np.argsort(out_word, kind="stable")].astype(np.int32).tobytes()
+        cuts = 4 * np.r_[0, np.cumsum(np.bincount(out_word, minlength=len(words)))]
+        return [flat_ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def learn(self, words: list[str]) -> None:
         """Puts the encoding of words into the cache."""
         for w, ids in zip(words, self.merge([w.encode("utf-8", "surrogateescape") for w in words]), strict=True):
-            self.cache[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
-
-    def encoded(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """For each text the number of tokens, their ids and the decoded text, the last two joined by one space. New words of all texts are merged together."""
+            self.cache[w] = ids
+            self.room -= ENTRY + len(w) + len(ids)
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """The text in pieces that no word lies across: a piece ends before a blank or line end, which belong to no word."""
+        a = 0
+        while len(text) - a > PIECE:
+            b = max(text.rfind(" ", a + 1, a + PIECE), text.rfind("\n", a + 1, a + PIECE))
+            if b < 0:
+                ends = [x for x in (text.find(" ", a + PIECE), text.find("\n", a + PIECE)) if x >= 0]
+                b = min(ends, default=len(text))
+            yield text[a:b]
+            a = b
+        if a < len(text):
+            yield text[a:]
+
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as int32. New words of all texts, or of a piece of a long one, are merged together."""
+        long = [bool(t) and len(t) > PIECE and self.apart for t in texts]
+        if not any(long):
+            return self._encoded(texts)
+        return [np.concatenate([x for p in self.pieces(t) for x in self._encoded([p])]) if far else self._encoded([t])[0] for t, far in zip(texts, long, strict=True)]
+
+    def _encoded(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.words(t or "") for t in texts]
         used = set().union(*cut)
-        if len(self.cache) > CACHE_WORDS:
+        if self.room < 0:
             self.cache = self.fixed | {w: e for w, e in self.cache.items() if w in used}
+            self.room = CACHE_BYTES - sum(ENTRY + len(w) + len(e) for w, e in self.cache.items())
         if missing := [w for w in used if w not in self.cache]:
             self.learn(missing)
-        out, kept = [], self.cache
-        for own in cut:
-            n, ids, names = zip(*[kept[w] for w in own], strict=True) if own else ((), (), ())
-            out.append((sum(n), " ".join(ids), " ".join(names)))
-        return out
+        kept = self.cache
+        return [np.frombuffer(b"".join([kept[w] for w in own]), np.int32) for own in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.encoded([text])[0][1].split()]
+        return self.encoded([text])[0].tolist()
+
+    def words_of(self, ids) -> list[str]:
+        names, most = self.names, len(self.names)
+        return [n for i in ids if 0 <= i < most and (n := names[i]) is not None]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """Token strings joined by one space, as a tokenizer without a decoder gives them; unknown ids are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        return " ".join(self.words_of(ids))
+
+    def hashes(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the ids, and of the text that they decode to, some of them at a time."""
+        of_ids, of_text = hashlib.sha256(), hashlib.sha256()
+        any_text = False
+        for a in range(0, len(ids), AT_ONCE):
+            part = ids[a : a + AT_ONCE].tolist()
+            of_ids.update((" " * (a > 0) + " ".join(map(str, part))).encode())
+            if words := self.words_of(part):
+                of_text.update((" " * any_text + " ".join(words)).encode())
+                any_text = True
+        return of_ids.hexdigest(), of_text.hexdigest()
 
 
 def _class(kinds: str) -> str:
@@ -187,14 +226,18 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         def work(cols):
             ids, texts = cols
             got = tok.encoded(texts)
-            out = [ids, [g[0] for g in got], [hashlib.sha256(g[1].encode()).hexdigest() for g in got], [hashlib.sha256(g[2].encode()).hexdigest() for g in got]]
-            return [*out, [[int(i) for i in g[1].split()] for g in got]] if with_ids else out
+            sizes = [len(g) for g in got]
+            of_ids, of_text = zip(*map(tok.hashes, got), strict=True) if got else ((), ())
+            out = [ids, sizes, of_ids, of_text]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate([*got, np.zeros(0, np.int32)]))))
+            return out
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col).alias("_text")), make, schema, text="_text")
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col).alias("_text")), make, schema, text="_text", batch_bytes=BATCH)
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

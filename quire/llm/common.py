@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from pathlib import Path
 from tempfile import gettempdir
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -22,11 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. A session on one machine (tests) may name none and gets a temporary one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or f"file://{Path(gettempdir()) / 'quire-checkpoints'}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: for wide steps, of which a checkpoint would take several times the room. Whoever asks for it hands it to removed() when nothing reads it any more."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() made."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if path is not None:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder and read back: its lineage ends there, so lost executors cost nothing, and values that depend on the row order are fixed."""
     sc = df.sparkSession.sparkContext
@@ -50,11 +71,31 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[
         for batch in batches:
             for part in slices(batch, at, batch_bytes):
                 cols = work([c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], names=names)
+        del work
+        trimmed()
 
     return df.mapInArrow(run, out)
 
 
+@lru_cache(1)
+def allocator():
+    """The C library, where it can give memory back."""
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        library.malloc_trim(0)
+        return library
+    except (OSError, AttributeError):
+        return None
+
+
+def trimmed() -> None:
+    """Gives free memory of this Python worker back to the machine: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    if (library := allocator()) is not None:
+        library.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, at: int | None, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """`batch` in runs of at most BATCH_ROWS rows and, by the strings of column `at`, about `most` bytes."""
     start, held = 0, 0

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer as Library
@@ -38,7 +39,28 @@ def test_any_text(text):
 
 
 def test_cache_bound(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
     tok, r = bpe.Tokenizer(PATH), random.Random(1)
     texts = [" ".join("".join(r.choice("abc") for _ in range(5)) for _ in range(20)) + " <|endoftext|>" for _ in range(30)]
     assert [tok.encode(t) for t in texts] == [expected(t)[0] for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aab'sΣé́ \n\t!1字<|>"), max_size=80), st.integers(1, 9))
+def test_pieces_of_long_texts(text, size):
+    """A text taken in pieces has the ids of the whole."""
+    tok, whole = bpe.tokenizer(PATH), bpe.PIECE
+    try:
+        bpe.PIECE = size
+        assert tok.encode(text) == expected(text)[0]
+    finally:
+        bpe.PIECE = whole
+
+
+def test_hashes_in_parts(monkeypatch):
+    tok = bpe.tokenizer(PATH)
+    ids = np.array([*tok.encode("some words, taken in parts"), 10**6], np.int32)  # the last one is unknown
+    want = tuple(hashlib.sha256(t.encode()).hexdigest() for t in (" ".join(map(str, ids)), tok.decode(ids.tolist())))
+    for size in (1, 2, 100):
+        monkeypatch.setattr(bpe, "AT_ONCE", size)
+        assert tok.hashes(ids) == want
