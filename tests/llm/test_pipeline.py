@@ -1,7 +1,10 @@
 import hashlib
 
 import corpus_pipeline as pipeline
-from quire.llm import bpe, queries, simhash
+from test_similar import brute
+
+from quire.llm import bpe, queries
+from quire.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,22 +13,22 @@ def test_stages(spark):
     """Each stage on its own input: what it keeps, and that its decisions take effect."""
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "simhash", "secrets", "mixing", "bpe"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = pipeline.written(pipeline.drop_toxic(spark, docs, SF))
+    kept = stored(pipeline.drop_toxic(spark, docs, SF))
     toxic = {r.doc_id for r in queries.op1_toxicity(spark, SF).where("toxic").collect()}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - toxic
-    single = pipeline.written(pipeline.drop_copies(spark, kept, SF))
-    components = {r.component_id for r in simhash.near_duplicates(kept).collect()}
+    single = stored(pipeline.drop_copies(spark, kept, SF))
+    components = set(brute([(r.doc_id, r.text) for r in kept.collect()]))  # five words and a similarity of 0.8, by comparing all pairs
     assert sorted(r.doc_id for r in single.collect()) == sorted(components)
     planted = spark.createDataFrame([(10**6, "the password=xK9fQ2mN7p of", "en", "src0", 26)], single.schema)  # this table holds no secret
     single = single.unionByName(planted)
     components.add(10**6)
-    masked = pipeline.written(pipeline.mask_secrets(spark, single, SF))
+    masked = stored(pipeline.mask_secrets(spark, single, SF))
     assert masked.columns == docs.columns and sorted(r.doc_id for r in masked.collect()) == sorted(components)
     assert masked.where("doc_id = 1000000").first().text == "the <SECRET> of"
     before = {r.doc_id: r.text for r in single.collect()}
     changed = [r for r in masked.collect() if r.text != before[r.doc_id]]
     assert changed and all("<SECRET>" in r.text or "<EXAMPLE>" in r.text for r in changed) and all(r.n_chars == len(r.text) for r in changed)
-    mixed = pipeline.written(pipeline.mix(spark, masked, SF))
+    mixed = stored(pipeline.mix(spark, masked, SF))
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= components
     tok, texts = bpe.tokenizer(queries.tokenizer_path()), {r.doc_id: r.text for r in mixed.collect()}
     got = pipeline.encode(spark, mixed, SF).collect()
