@@ -4,7 +4,7 @@
 2. Targets: sources in code-point order, null last, weigh WEIGHTS in turn and share SHARE of all words; no target exceeds twice its source. The water level that this fixes is found exactly from the sources in the order in which they fill up.
 3. Blocks: each source's documents are dealt into blocks of about BLOCK_DOCS by hash. A draw is one pass over one block. Draws are put into a random order, the first pass before the second, and taken until the source's target is reached; the one draw that the target falls into is taken document by document. That gives each source an exact quota of draws.
 4. Splitting tree: the root holds the quotas of all sources, and each node deals its draws to two halves by a multivariate hypergeometric draw, source after source, until each leaf, an output shard, has its own quota of each source. The draws of a source, in their random order, then go to the shards in disjoint runs of these lengths.
-5. Each shard is shuffled locally: `position` orders its rows by hash.
+5. Each shard is shuffled locally: `position` orders its rows by hash. apply() writes rows out shard by shard in this order.
 
 All random numbers are hashes of a seed and of keys, so reruns agree. Documents are shuffled without their text; the per-source and per-block tables have no row for a document.
 
@@ -13,17 +13,26 @@ Edge cases: a null text has size 0; a document of size 0 is taken 0 words, whate
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, uniform, word_count
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-BLOCK_DOCS, SHARDS_LOG2, SEED = 512, 4, 17
+#: Documents of a block, words of an output shard (about), levels of the tree after which its nodes are dealt out anew.
+BLOCK_DOCS, SHARD_WORDS, SPREAD, SEED = 512, 1 << 22, 6, 17
+
+
+def keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that tell rows apart: `_mix` of id and text, which orders rows at random, and `_check` of all columns but maps, which have no hash."""
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("_mix"), F.xxhash64(F.lit(SEED), *rest).alias("_check")]
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Id, source, size and row number of each row, written to the shared folder."""
-    rows = docs.select(F.col(id_col), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_mix"), F.xxhash64(F.lit(SEED), F.col(source_col), F.col(text_col), F.col(id_col)).alias("_check"))
+    """Id, source, size, keys and row number of each row, written to the shared folder."""
+    rows = docs.select(F.col(id_col), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), *keys(docs, id_col, text_col))
     return cut(rows.withColumn("_row", F.monotonically_increasing_id()))
 
 
@@ -102,15 +111,23 @@ def split_tree(quotas: DataFrame, levels: int) -> DataFrame:
         node = node.withColumn("left", F.when(F.size("q") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("q") - 1, F.lit(0))), begin, halve(level), lambda a: a["out"])).otherwise(F.col("q")))
         right = F.zip_with("q", "left", lambda a, b: a - b)
         node = node.select("names", F.posexplode(F.array("left", right)).alias("side", "branch"), "shard").select((F.col("shard") * 2 + F.col("side")).alias("shard"), "names", F.col("branch").alias("q"))
+        if level % SPREAD == SPREAD - 1 and level + 1 < levels:
+            node = cut(node.repartition("shard"))
     return node.select("shard", F.explode(F.arrays_zip("names", "q")).alias("x")).select("shard", F.col("x.names").alias("_n"), F.col("x.q").alias("draws"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = SHARDS_LOG2) -> DataFrame:
+def depth(quota: DataFrame) -> int:
+    """Levels of the tree that give shards of about SHARD_WORDS words."""
+    words = quota.agg(F.sum("words")).first()[0] or 0
+    return max(0, math.ceil(math.log2(max(1, words / SHARD_WORDS))))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int | None = None) -> DataFrame:
     """A row for each time that a document is taken: the row's number `_row`, id, size, source_size, target, shard and position in it; a document not taken has one row with null shard."""
     rows = sized(docs, id_col, text_col, source_col)
     placed = cut(place(rows, targets(rows)))
     quota = cut(draws(placed))
-    shards = cut(split_tree(quota.groupBy("_n").agg(F.count("*").alias("draws")), levels))
+    shards = cut(split_tree(quota.groupBy("_n").agg(F.count("*").alias("draws")), depth(quota) if levels is None else levels))
     ends = shards.withColumn("last", F.sum("draws").over(Window.partitionBy("_n").orderBy("shard"))).select("_n", "shard", (F.col("last") - F.col("draws")).alias("after"), "last")
     # Runs of draws: one row for each source and shard, so this table has sources x shards rows.
     dealt = quota.alias("d").join(ends.alias("e"), (F.col("d._n") == F.col("e._n")) & (F.col("number") > F.col("after")) & (F.col("number") <= F.col("last")), "left").select("d.*", "shard")
@@ -125,19 +142,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return out.select("_row", "_mix", "_check", id_col, "size", "source_size", "target", "shard", F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(SEED), "_mix", "pass", "_row")).alias("position"))
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = SHARDS_LOG2) -> DataFrame:
-    """One row for each row of `docs`: id, size, source_size, target, taken (words, repeats counted) and the sorted shards that hold it."""
+def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int | None = None) -> DataFrame:
+    """One row for each row of `docs`: id, size, source_size, target, taken (words, repeats counted), and for each time that it is taken, sorted, the shard that holds it and its position there."""
     by = mixed(docs, id_col, text_col, source_col, levels).groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in (id_col, "size", "source_size", "target")], (F.first("size") * F.count("shard")).cast("long").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards")
+        *[F.first(c).alias(c) for c in (id_col, "size", "source_size", "target")], F.array_sort(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("shard", "position")))).alias("_places")
     )
-    return by.drop("_row")
-
+    taken = (F.col("size") * F.size("_places")).cast("long").alias("taken")
+    return by.select(id_col, "size", "source_size", "target", taken, F.col("_places.shard").alias("shards"), F.col("_places.position").alias("positions"))
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it. Rows that are equal in id, text and source are drawn together: each of them is repeated as the first is."""
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_mix", F.xxhash64(id_col, text_col)).withColumn("_check", F.xxhash64(F.lit(SEED), source_col, text_col, id_col))
 
-    draws_of = mixed(docs, id_col, text_col, source_col).where("shard is not null").groupBy("_mix", "_check").agg(F.count("*").alias("_times"))
-    once = keyed(docs).dropDuplicates(["_mix", "_check"]).join(draws_of, ["_mix", "_check"])
-    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_")).drop("_")
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int | None = None) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it, each output shard's rows together and in their random order. Rows that are equal in every column are drawn together."""
+    drawn = mixed(docs, id_col, text_col, source_col, levels).where("shard is not null").select("_mix", "_check", F.col("shard").alias("_shard"), F.col("position").alias("_position"))
+    once = docs.select("*", *keys(docs, id_col, text_col)).dropDuplicates(["_mix", "_check"])
+    rows = once.join(drawn, ["_mix", "_check"])
+    return rows.repartition("_shard").sortWithinPartitions("_shard", "_position").select(*docs.columns)

@@ -36,7 +36,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.summary(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixing.summary(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards", "positions")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

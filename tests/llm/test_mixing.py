@@ -60,7 +60,34 @@ def test_apply_takes_what_the_summary_says(corpus):
     assert took == want
 
 
-def test_shards_hold_their_quotas(spark):
+def test_apply_writes_shard_by_shard_in_random_order(corpus):
+    """The rows lie in partitions as the summary deals them: shards together, positions ascending."""
+    places = {}
+    for r in mixing.summary(corpus, levels=3).collect():
+        for s, p in zip(r.shards, r.positions):
+            places.setdefault(r.doc_id, []).append((s, p))
+    parts = [[r.doc_id for r in part] for part in mixing.apply(corpus, levels=3).select("doc_id").rdd.glom().collect() if part]
+    where = {}
+    for k, part in enumerate(parts):
+        seen = []
+        for i, n in Counter(part).items():
+            assert n == len(places[i])
+        todo = {i: sorted(p) for i, p in places.items()}
+        for i in part:
+            seen.append(todo[i].pop(0))
+        assert seen == sorted(seen)
+        for s, _ in seen:
+            assert where.setdefault(s, k) == k
+    assert len(where) > 1 and sum(map(len, parts)) == sum(map(len, places.values()))
+
+
+def test_rows_that_differ_in_other_columns_stay_apart(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", n, {"k": n}) for n in range(4)], "doc_id int, text string, source string, n int, m map<string,int>")
+    assert set(r.n for r in mixing.apply(df).collect()) <= {0, 1, 2, 3} and mixing.apply(df).count() == sum(len(r.shards) for r in mixing.summary(df).collect()) > 3
+
+
+def test_shards_hold_their_quotas(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 2)
     quotas = spark.createDataFrame([(1, 40), (2, 7), (3, 1), (4, 100)], "_n int, draws bigint")
     got = mixing.split_tree(quotas, 3).toPandas()
     assert got.groupby("_n").draws.sum().to_dict() == {1: 40, 2: 7, 3: 1, 4: 100}
