@@ -31,6 +31,65 @@ def test_scores_against_plain_formula():
     assert model.scores(["fine", None]) == [[0.0, 0.0]] * 2
 
 
+def test_learning_is_the_same_on_executors(spark, corpus):
+    """learn() chooses the features and fits the weights of fit() over the whole texts."""
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    bad = {k: f"{t} awful awfully {'vile ' * (k % 5)}" for k, t in texts.items() if k % 3 == 0}
+    docs = spark.createDataFrame(list((texts | bad).items()), "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in texts], "doc_id bigint, toxic int")
+    got = toxicity.learn(docs, labels)
+    words = {k: toxicity.counted(t) for k, t in (texts | bad).items()}
+    want = toxicity.fit([(int(k in bad), list(w), list(w.values())) for k, w in words.items()])
+    assert {"awful", "awfully"} <= set(got.weights) == set(want.weights)
+    assert np.allclose([got.weights[f] for f in sorted(got.weights)], [want.weights[f] for f in sorted(want.weights)], atol=1e-6) and np.allclose(got.cuts, want.cuts, atol=1e-6)
+
+
+def test_words_late_in_a_long_text_are_learned(spark):
+    filler = " ".join("".join(chr(97 + (k * 7 + j * (k // 26 + 1)) % 26) for j in range(6)) + chr(97 + k % 26) for k in range(9000))
+    docs = spark.createDataFrame([(k, f"{filler} {'vileword' if k % 2 else 'nice'}") for k in range(40)], "doc_id bigint, text string")
+    model = toxicity.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert "vileword" in model.weights
+
+
+def sparse(seed, n=60, m=5):
+    r = np.random.default_rng(seed)
+    x = np.where(r.random((n, m)) < 0.5, r.random((n, m)) * 3, 0.0)
+    z = x @ np.array([1.0, -0.5, 2.0, 0.0, -1.0]) + r.logistic(size=n)
+    grade = np.searchsorted([1.0, 2.5, 4.0], z)
+    rows, cols = np.nonzero(x)
+    return x, toxicity.Problem(grade, rows, cols, x[rows, cols], m, 0.02)
+
+
+def test_slope_against_finite_differences():
+    x, problem = sparse(1)
+    theta = np.r_[0.3, -0.2, 0.5, 0.1, -0.4, 0.5, 1.5, 3.0]
+    _, slope = problem.likelihood(theta)
+    plain = 0.0
+    for row, g in zip(x, problem.grade):  # the likelihood from its definition
+        p = [1.0, *[1 / (1 + np.exp(c - row @ theta[:5])) for c in theta[5:]], 0.0]
+        plain += np.log(p[g] - p[g + 1])
+    assert np.isclose(problem.likelihood(theta)[0], plain - 0.01 * (theta[:5] @ theta[:5]))
+    for k in range(len(theta)):
+        step = np.eye(len(theta))[k] * 1e-6
+        assert np.isclose(slope[k], (problem.likelihood(theta + step)[0] - problem.likelihood(theta - step)[0]) / 2e-6, atol=1e-4)
+
+
+def test_climb_reaches_the_optimum():
+    """A plain optimiser, one parameter at a time, finds nothing better."""
+    _, problem = sparse(1)
+    theta = toxicity.climb(problem, np.r_[np.zeros(5), -1.0, 0.0, 1.0], 3000, 0.05)
+    reached, here, step = problem.likelihood(theta)[0], np.r_[np.zeros(5), -1.0, 0.0, 1.0], 0.5
+    now = problem.likelihood(here)[0]
+    while step > 1e-5:
+        tries = [here + s * step * np.eye(8)[k] for k in range(8) for s in (1, -1)]
+        value, k = max((problem.likelihood(t)[0], k) for k, t in enumerate(tries) if (np.diff(t[5:]) > 0).all())
+        if value > now:
+            now, here = value, tries[k]
+        else:
+            step /= 2
+    assert abs(now - reached) < 1e-2 and np.allclose(theta, here, atol=0.05)
+
+
 def test_odd(spark, odd, empty):
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)] + [(None, 1), (7, None), (8, 1)], "doc_id bigint, toxic int")
     model = toxicity.learn(odd, labels)
