@@ -1,8 +1,8 @@
 """Operator 4: near-duplicates by SimHash with a byte-position inverted index and count filtering.
 
-Fingerprints of 64 bits that differ in at most BITS = 3 bits differ in at most three of their eight bytes, so they share at least five (position, byte) postings. Posting lists of single bytes would be huge, so the index keeps postings of four positional bytes together: the fourteen blocks of the Steiner system S(3, 4, 8), of which, whichever three positions differ, one has only equal bytes. Within such a list the shared positional bytes of a pair are tallied, pairs with five or more are retained, and those are verified bit by bit.
+Fingerprints of 64 bits that differ in at most BITS = 3 bits differ in at most three of their eight bytes, so they share at least SHARED = 5 (position, byte) postings. Lists of single postings would hold a 256th of all fingerprints, so they are dealt out by four postings at once: the fourteen blocks of the Steiner system S(3, 4, 8), of which, whichever three positions differ, one has only equal bytes. What lies in one place so has four postings in common. There the lists of the other four positions are made, (position, byte) by (position, byte), and a pair that meets in one of them has the tally of five. Pairs that meet in none are never compared. Retained pairs are verified bit by bit.
 
-Only distinct fingerprints are indexed: exact copies meet in a group-by with partial aggregation. A list yields a spanning forest of its links, not all pairs: each fingerprint is expanded once against those not reached yet. A list holds distinct fingerprints that agree in 32 bits; one of near copies is bounded by the number of bit patterns near their centre, however many documents there are. Links become components in DataFrames.
+Only distinct fingerprints are indexed: exact copies meet in a group-by with partial aggregation. A list yields a spanning forest of its links, not all pairs: each fingerprint is expanded once against those not reached yet. In a list of over LIST members, which agree in five bytes, each fingerprint instead looks up the 2,324 others that it could be linked with: work grows with the list, not with its square, and no link is lost either way. A list holds distinct fingerprints that agree in 40 bits; one of near copies is bounded by the number of bit patterns near their centre, however many documents there are. Links become components in DataFrames.
 
 Edge cases: null and empty texts and texts of white space have no words and the fingerprint zero, and are linked like any other. Repeated rows give repeated rows. A null id never names a component unless all ids of it are null. An empty table gives an empty one; other columns are not read.
 """
@@ -22,7 +22,7 @@ from .components import components
 BITS, BYTES, SEED, SHINGLE = 3, 8, 42, 3
 #: Least number of positional bytes that linked fingerprints share.
 SHARED = BYTES - BITS
-#: Above this size a list is looked at by one more byte at a time.
+#: In lists above this size possible partners are looked up.
 LIST = 4096
 #: Blocks of the Steiner system: four places whose numbers cancel out under exclusive or.
 BLOCKS = [b for b in combinations(range(BYTES), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
@@ -56,46 +56,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(F.col(id_col), F.col(text_col).alias("_text")), make, f"`{id_col}` {kind}, fp bigint", text="_text")
 
 
-def shared_bytes(x: np.ndarray) -> np.ndarray:
-    """Tally of positional bytes that pairs share, given their exclusive or."""
-    return (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(-1)
-
-
-def linked(one: np.uint64, others: np.ndarray) -> np.ndarray:
-    x = others ^ one
-    kept = np.flatnonzero(shared_bytes(x) >= SHARED)
-    return kept[np.bitwise_count(x[kept]) <= BITS]
-
-
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints."""
-    out, open_ = [], fps
+    """A spanning forest of the links among distinct fingerprints: each is verified once against those not reached yet."""
     if len(fps) == 2:
         return [(fps[0], fps[1])] if int(fps[0] ^ fps[1]).bit_count() <= BITS else []
+    out, open_ = [], fps
     while len(open_) > 1:
         queue, open_ = [open_[0]], open_[1:]
         while queue and len(open_):
             one = queue.pop()
-            if (hit := linked(one, open_)).size:
-                out += [(one, x) for x in open_[hit]]
-                queue += list(open_[hit])
-                open_ = np.delete(open_, hit)
+            near = np.bitwise_count(open_ ^ one) <= BITS
+            if near.any():
+                hit = open_[near]
+                out += [(one, x) for x in hit]
+                queue += list(hit)
+                open_ = open_[~near]
     return out
 
 
-def links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is linked within one posting list. A long list is split by each byte in which its members differ: linked ones share one of these or are found in another list. If its members agree in a fifth byte, linked ones may share that one alone, and the list stays whole."""
-    if len(fps) <= LIST:
-        return forest(fps)
-    out, octets = [], fps.view(np.uint8).reshape(-1, BYTES)
-    if (octets == octets[0]).all(0).sum() >= SHARED:
-        return forest(fps)
-    for k in range(BYTES):
-        order = np.argsort(octets[:, k], kind="stable")
-        cuts = np.flatnonzero(np.diff(octets[order, k])) + 1
-        if len(cuts):
-            for part in np.split(order, cuts):
-                out += forest(fps[part])
+def partners(fps: np.ndarray, free: list[int]) -> list[tuple[int, int]]:
+    """As forest() for distinct fingerprints that differ in the bits `free` at most: every pattern of BITS or fewer of these is looked up for all of them."""
+    fps = np.sort(fps)
+    root = np.arange(len(fps))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for n in range(1, BITS + 1):
+        for bits in combinations(free, n):
+            other = fps ^ np.uint64(sum(1 << b for b in bits))
+            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+            for i in np.flatnonzero((fps[at] == other) & (fps < other) & (root != root[at])).tolist():
+                a, b = top(i), top(int(at[i]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((fps[i], fps[at[i]]))
+    return out
+
+
+def links(fps: np.ndarray, block: tuple[int, ...] = ()) -> list[tuple[int, int]]:
+    """Links that connect what is linked among distinct fingerprints that share the bytes at the positions of `block`: all that meet in SHARED - len(block) lists of the other positions."""
+    octets, out = fps.view(np.uint8).reshape(-1, BYTES), []
+
+    def narrowed(rows: np.ndarray, same: tuple[int, ...], after: int) -> None:
+        if len(same) >= SHARED:
+            out.extend(forest(fps[rows]) if len(rows) <= LIST else partners(fps[rows], [8 * k + b for k in range(BYTES) if k not in same for b in range(8)]))
+            return
+        for k in (k for k in range(after, BYTES) if k not in same):
+            order = rows[np.argsort(octets[rows, k], kind="stable")]
+            for part in np.split(order, np.flatnonzero(np.diff(octets[order, k])) + 1):
+                if len(part) > 1:
+                    narrowed(part, (*same, k), k + 1)
+
+    narrowed(np.arange(len(fps)), tuple(block), 0)
     return out
 
 
@@ -107,7 +124,7 @@ def list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, key, fp = cols
         starts = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(key) != 0)]) if len(fp) else np.zeros(0, np.int64)
         ends = np.r_[starts[1:], len(fp)]
-        pairs = [p for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True) for p in links(fp[a:b].astype(np.uint64, copy=False))]
+        pairs = [p for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True) for p in links(fp[a:b].astype(np.uint64, copy=False), BLOCKS[block[a]])]
         u, v = (np.array([p[k] for p in pairs], np.uint64).view(np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 

@@ -96,16 +96,60 @@ def test_components(spark):
     assert components.components(spark.createDataFrame(star, "u bigint, v bigint")).agg(F.max("root")).first()[0] == 0
 
 
-def test_long_list_that_agrees_in_five_bytes():
-    """The pair differs in one bit of each of the other three bytes, and nothing else is near."""
+def connected(fps, edges):
+    """The set of each fingerprint's component, by plain union."""
+    root = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(int(a))] = find(int(b))
+    out = defaultdict(set)
+    for x in root:
+        out[find(x)].add(x)
+    return sorted(map(sorted, out.values()))
+
+
+def all_pairs(fps):
+    out = []
+    for k, x in enumerate(fps):
+        out += [(x, y) for y in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ x) <= 3]]
+    return out
+
+
+def indexed(fps):
+    """Links of all lists of the index."""
+    out = []
+    for block in simhash.BLOCKS:
+        mask = np.uint64(sum(0xFF << (8 * k) for k in block))
+        order = np.argsort(fps & mask, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(fps[order] & mask)) + 1):
+            out += simhash.links(fps[part], block)
+    return out
+
+
+def test_long_lists_lose_no_link():
+    """Over 4,096 fingerprints that agree in five bytes, with planted links of one bit in each of the other three bytes; and lists whose bytes are constant, nearly constant or random."""
     r = np.random.default_rng(8)
-    high = np.unique(r.integers(0, 1 << 24, 6000, dtype=np.uint64))
-    one = np.uint64(0x5A5A5A)
-    high = np.r_[high[np.bitwise_count(high ^ one) > 6], one, one ^ np.uint64(0x010101)]
-    fps = np.unique(high) << np.uint64(40) | np.uint64(0x1234567890)
-    assert len(fps) > simhash.LIST
-    pair = {int(x) << 40 | 0x1234567890 for x in (one, one ^ np.uint64(0x010101))}
-    assert any({int(a), int(b)} == pair for a, b in simhash.links(fps))
+    high = np.unique(r.integers(0, 1 << 24, 2600, dtype=np.uint64))
+    high = np.unique(np.r_[high, high ^ np.uint64(0x010101)])
+    planted = high << np.uint64(40) | np.uint64(0x1234567890)
+    assert len(planted) > simhash.LIST
+    few = r.integers(0, 3, (3000, 8), dtype=np.uint8).view(np.uint64).ravel()
+    near = np.uint64(0x0F1E2D3C4B5A6978) ^ sum((np.uint64(1) << r.integers(0, 64, 5000, dtype=np.uint64)) * np.uint64(k) for k in (1,)) ^ (np.uint64(1) << r.integers(0, 64, 5000, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 20, 5000, dtype=np.uint64))
+    for fps in (planted, np.unique(few), np.unique(near)):
+        assert connected(fps, indexed(fps)) == connected(fps, all_pairs(fps))
+    assert all(int(a ^ b).bit_count() <= 3 for a, b in indexed(planted))
+
+
+def test_look_up_is_the_same_as_expansion():
+    r = np.random.default_rng(2)
+    fps = np.unique(r.integers(0, 1 << 9, 300, dtype=np.uint64) << np.uint64(10))
+    assert connected(fps, simhash.partners(fps, list(range(10, 34)))) == connected(fps, simhash.forest(fps)) == connected(fps, all_pairs(fps))
 
 
 def test_one_row_of_each_component(spark):
