@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm import secrets
@@ -23,12 +25,17 @@ def brute(text):
     return sorted(out)
 
 
+def repository(i):
+    return 9 if i is None else i % 3
+
+
 def check(df):
     rows = [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()]
-    owners = defaultdict(set)
-    for _, t, s in rows:
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for i, t, s in rows:
         for x in brute(t):
             owners[x[4]].add(s)
+            repositories[x[4]].add((s, repository(i)))
     want = []
     for i, t, s in rows:
         found = brute(t)
@@ -36,13 +43,14 @@ def check(df):
         more = set()
         for a, _, _, b, v in found:
             live = re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= secrets.LIVE_DISTINCT and not re.search(secrets.PLACEHOLDERS, v)
-            if len(owners[v]) >= secrets.EXAMPLE_OWNERS:
+            if len(owners[v]) >= secrets.EXAMPLE_OWNERS or (len(owners[v]) == 2 and len(repositories[v]) >= secrets.EXAMPLE_REPOSITORIES):
                 more.add((b - len(v), 4, "example", b, ""))
             elif len(owners[v]) == 1 and live:
                 more.add((b - len(v), 3, "live", b, ""))
         spans = ",".join(f"{x[2]}:{x[0]}:{x[3]}" for x in sorted([*found, *more], key=lambda x: (x[0], x[1], x[3])))
-        want.append((i, *[sum(x[2] == k for x in found) for k in secrets.LEAST], digest, spans))
-    got = [tuple(r) for r in secrets.scan(df, owner=F.col("source"), repository=F.col("source")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()]
+        most = [max((len(of[x[4]]) for x in found), default=0) for of in (owners, repositories)]
+        want.append((i, *[sum(x[2] == k for x in found) for k in secrets.LEAST], digest, spans, *most))
+    got = [tuple(r) for r in secrets.scan(df, owner=F.col("source"), repository=F.coalesce(F.col("doc_id") % 3, F.lit(9))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "owners", "repositories").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
@@ -74,6 +82,53 @@ def test_redact(odd, spark):
     assert sorted((r.doc_id, r.text) for r in secrets.redact(one).collect()) == [(1, "x <SECRET> y <SECRET>"), (2, "clean"), (3, None)]
 
 
+def test_repositories_decide(spark):
+    """A value of two owners is an example only if it lies in many repositories."""
+    value = "password=xK9fQ2mN7p"
+    wide = spark.createDataFrame([(k, value, f"s{k % 2}") for k in range(6)], "doc_id bigint, text string, source string")
+    check(wide)
+    narrow = wide.where("doc_id < 2")
+    check(narrow)
+    kinds = lambda df: {(r.n_example, r.n_live) for r in secrets.scan(df, owner=F.col("source"), repository=F.col("doc_id") % 3).collect()}
+    assert kinds(wide) == {(1, 0)} and kinds(narrow) == {(0, 0)}
+
+
+def plain_mask(text, marks):
+    out, at = "", 0
+    for a, b, m in sorted(marks):
+        if a >= at:
+            out += text[at:a] + m
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_mask_against_plain(spark):
+    r = np.random.default_rng(1)
+    rows = []
+    for n in (0, 1, 2, 3, 7, 20, 50):
+        text = "".join(r.choice(list("abcé\U0001f600 "), 60))
+        starts = r.integers(0, 55, n)
+        rows.append((n, text, [(int(a), int(a + r.integers(1, 6)), "<M>") for a in sorted(starts)]))
+    df = spark.createDataFrame(rows, "n int, t string, marks array<struct<start:int,end:int,mark:string>>")
+    got = {x.n: x.out for x in df.select("n", secrets.mask(F.col("t"), F.array_sort("marks")).alias("out")).collect()}
+    assert got == {n: plain_mask(t, m) for n, t, m in rows}
+
+
+def test_many_matches_in_one_text(spark):
+    """A megabyte of digests: 32,000 spans are found and replaced in a few seconds."""
+    text = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(32_000))
+    df = spark.createDataFrame([(1, text, "a")], "doc_id bigint, text string, source string").cache()
+    secrets.scan(df.where("false")).count()
+    began = time.time()
+    r = secrets.scan(df).select("n_hex", "base_sha256").first()
+    assert time.time() - began < 20
+    want = ",".join(f"hex:{33 * k}:{33 * k + 32}" for k in range(32_000))
+    assert (r.n_hex, r.base_sha256) == (32_000, hashlib.sha256(want.encode()).hexdigest())
+    began = time.time()
+    assert secrets.redact(df).first().text == " ".join(["<SECRET>"] * 32_000)
+    assert time.time() - began < 30
+
+
 def test_native(odd):
     plan = secrets.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
