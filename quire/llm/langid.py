@@ -1,6 +1,6 @@
 """Operator 7: language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of its labelled text. A text is parsed from left to right into the longest phrases that the automaton knows; a phrase ends where no known substring goes on. The language whose reference needs the fewest phrases for each symbol, normalised by the entropy of its reference's size, wins. All letters of the references have a symbol of their own, over all code points. The automata are dense transition tables for the commonest letters and sorted transitions for the others, and all texts of a batch are walked in step in numpy, whole.
+For each language a suffix automaton is built over the whole texts of a bounded sample of its labelled rows (SAMPLE_DOCS rows of at most SAMPLE_CHARS characters). A text is parsed from left to right into the longest phrases that the automaton knows; a phrase ends where no known substring goes on. The language whose reference needs the fewest phrases for each symbol, normalised by the entropy of its reference's size, wins. All letters of the references have a symbol of their own, over all code points. The automata are dense transition tables for the commonest letters and sorted transitions for the others, and all texts of a batch are walked in step in numpy, whole.
 
 Prediction reads the text alone. Learning reads the text and the label of the rows that the caller gives for it.
 
@@ -14,28 +14,33 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_arrow, uniform
 
-#: Learning: about so many documents of each language, so many characters of each of them and of their whole, and symbols of the dense tables.
-SAMPLE_DOCS, SAMPLE_CHARS, REFERENCE_CHARS, SYMBOLS = 64, 1000, 12_000, 48
+#: Learning: labelled rows of each language at most, characters that such a row has at most (if its language has no shorter one, its shortest), and symbols of the dense tables.
+SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS = 24, 1000, 48
 UNKNOWN = "und"
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """A reference text for each language: about `docs` documents that the hash of the id picks, at most `chars` characters of each, cut to REFERENCE_CHARS. The driver gets the count of each language and this sample."""
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col)).count().collect()}
+    """A reference text for each language: the whole texts of a bounded sample of its rows. Of the rows of at most `chars` characters, `docs` are taken by the hash of id and text, repeated rows once; a language of longer rows only gives one of its shortest. The driver gets some counts of each language, and the sample."""
+    size, key = F.length(text_col), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), size.alias("size"), key.alias("key"))
+    counts = {r.lang: r for r in known.groupBy("lang").agg(F.min("size").alias("least"), F.approx_count_distinct(F.when(F.col("size") <= chars, F.col("key"))).alias("n")).collect()}
     if not counts:
         return {}
-    # Twice the wanted share, for the count scatters; a language of few documents is taken whole.
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * docs / n))])
-    rows = known.where(uniform(F.col(id_col), 7) < share[F.col(lang_col)]).select(lang_col, F.substring(F.col(text_col), 1, chars), F.xxhash64(F.col(id_col)), id_col).collect()
-    out: dict[str, str] = {}
-    for lang, text, *_ in sorted(rows, key=lambda r: (r[0], r[2], str(r[3]), r[1])):
-        out[lang] = f"{out.get(lang, '')} {text}"
-    return {k: v[:REFERENCE_CHARS] for k, v in out.items()}
+    of = lambda f: F.create_map(*[F.lit(x) for k, r in counts.items() for x in (k, f(r))])[F.col("lang")]
+    # Over twice the wanted share, for the counts are rough and draws scatter; of these, the first ones are taken.
+    share = of(lambda r: min(1.0, 2.5 * docs / max(r.n, 1)))
+    drawn = known.where((F.col("size") <= of(lambda r: max(r.least, chars))) & (uniform(F.col("key")) < share)).dropDuplicates(["lang", "key"])
+    first = Window.partitionBy("lang").orderBy("key", "text")
+    most = of(lambda r: docs if r.n else 1)
+    rows = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("lang", "place", "text").collect()
+    out: dict[str, list[str]] = {}
+    for lang, _, text in sorted(rows):
+        out.setdefault(lang, []).append(text)
+    return {lang: " ".join(texts) for lang, texts in out.items()}
 
 
 def fold(text: str) -> str:
@@ -72,6 +77,8 @@ class Model:
             base += len(table)
         self.keys, self.next = np.array(sorted(others), np.int64).reshape(-1, 2).T.copy()
         self.step = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        if 2 * len(self.step) < 1 << 31:
+            self.step = self.step.astype(np.int32)
         self.norm = np.array([np.log2(max(2, len(t))) for t in texts])
 
     def symbols(self, folded: str) -> np.ndarray:

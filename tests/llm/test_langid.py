@@ -46,6 +46,18 @@ def test_odd(odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_sample_is_bounded_in_rows_and_whole(spark):
+    """Rows that share an id or repeat, a language of long rows only, and more rows than are wanted: whole texts, each once, the same ones again."""
+    rows = [(k % 3, f"english text number {k} " * 3, "en") for k in range(400)] + [(9, "one and the same", "de")] * 500 + [(None, f"deutsch {k}", "de") for k in range(5)]
+    rows += [(k, "longue histoire " * (100 + k), "fr") for k in range(8)] + [(1, None, "en"), (2, "no language", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    got = langid.sample(df, "doc_id", "text", "lang", docs=10, chars=1000)
+    assert got["fr"] == "longue histoire " * 100
+    assert sorted(got["de"].replace("one and the same", "@").replace("deutsch", "").split()) == ["0", "1", "2", "3", "4", "@"]
+    assert got["en"].count("english text number") == 30  # ten rows of three sentences
+    assert langid.sample(df.repartition(3), "doc_id", "text", "lang", docs=10, chars=1000) == got
+
+
 def test_letters_of_no_known_alphabet():
     langs, scores = langid.Model({"en": "the of and", "de": "der die das"}).predict(["中文", "été", "123", None])
     assert langs[0] in ("en", "de") and langs[1] in ("en", "de") and langs[2:] == ["und", "und"]
