@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -27,6 +28,23 @@ def test_records_are_parsed_back(spark, tmp_path):
     assert [r.error is None for r in broken] == [True, False]
 
 
+def test_parsing_goes_on_after_damage():
+    one = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    zipped = gzip.compress(one)
+    rows = list(warc.parse(one + bytes(len(one)) + one + zipped + zipped[:-3] + one))
+    assert [(r["offset"], "error" in r) for r in rows] == [(0, False), (len(one), True), (2 * len(one), False), (3 * len(one), False), (3 * len(one) + len(zipped), True), (3 * len(one) + 2 * len(zipped) - 3, False)]
+    assert all(r["record"] == one for r in rows if "error" not in r)
+    assert list(warc.parse(b"")) == []
+
+
+def test_parsing_takes_time_in_proportion():
+    one = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for part in (one, gzip.compress(one)):
+        began = time.time()
+        assert sum(1 for _ in warc.parse(part * 100_000)) == 100_000
+        assert time.time() - began < 20
+
+
 def brute(one, two):
     keys = {k for k, _ in one} | {k for k, _ in two}
     a, b = ({k: sorted(h for q, h in s if q == k) for k in keys} for s in (one, two))
