@@ -2,9 +2,9 @@
 
 Store: a byte is one 8 x 8 block of constant luminance. With a quantiser of 8 for the DC term its coefficient is the byte less 128, so the file holds the bytes without loss and its thumbnail at an eighth of the size is the payload itself. Each run of 24 blocks ends in a restart marker. A payload of more rows than a JPEG may have becomes several images, one after the other.
 
-Read: markers are parsed, byte stuffing is removed, and the Huffman codes of all restart intervals of all files with the same tables are decoded in step, one block of each interval at a time, with tables over 16-bit windows. AC coefficients are decoded and skipped. Any baseline JPEG of 8 bits a sample with one scan works: several components, sampling factors, no restart markers, AC coefficients.
+Read: markers are parsed, byte stuffing is removed, and the Huffman codes of all restart intervals of all files with the same tables are decoded in step, one block of each interval at a time, with tables over 16-bit windows. AC coefficients are decoded and skipped. Any baseline JPEG of 8 bits a sample works: several components, in one scan or in scans of their own, sampling factors, no restart markers, AC coefficients.
 
-Edge cases: null or empty text is a payload of 576 bytes 255. Repeated rows give equal rows; an empty table gives an empty one; other columns are not read. Long texts are whole: only the number of images grows. A file that is not a baseline JPEG raises ValueError.
+Edge cases: null or empty text is a payload of 576 bytes 255. Repeated rows give equal rows; an empty table gives an empty one; other columns are not read. Long texts are whole: only the number of images grows, which are stored, read back and hashed one by one, AT_ONCE blocks at a time, so that besides the text itself a task holds one image (under 15 MB) and the arrays of one slice. A file that is not a baseline JPEG raises ValueError.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_arrow
 
 UNIT, RUN, WIDTH, MAX_ROWS = 576, 24, 576, 8191
+#: Blocks that are coded or decoded at once, and bytes of payload from which a text is stored and read image by image.
+AT_ONCE, LONG = 1 << 17, 1 << 18
 #: Lengths of the codes for the DC categories 0 to 8 in the files written here: fixed by the DHT segment below.
 DC_LENGTHS = (3, 3, 3, 3, 3, 3, 4, 4, 4)
 
@@ -74,8 +76,8 @@ def _code_table() -> tuple[np.ndarray, np.ndarray]:
 CODE_BITS, CODE_SIZES = _code_table()
 
 
-def entropy(payload: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scan bytes for whole intervals of RUN samples and the number of bytes of each interval, its marker included; `last` marks the intervals that end an image, which get no marker. Markers count from 0 after each such interval."""
+def entropy(payload: np.ndarray, last: np.ndarray, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Scan bytes for whole intervals of RUN samples and the number of bytes of each interval, its marker included; `last` marks the intervals that end an image, which get no marker. Markers count from 0 after each such interval, the first ones from `number`."""
     rows = payload.reshape(-1, RUN).astype(np.int64) - 128
     diff = rows.copy()
     diff[:, 1:] -= rows[:, :-1]
@@ -98,10 +100,11 @@ def entropy(payload: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarr
     wide = np.zeros((n, most * 8 + 2), np.uint8)
     wide[:, :-2] = full
     group_start = np.r_[0, np.flatnonzero(last)[:-1] + 1] if last.any() else np.zeros(1, np.int64)
-    number = every - np.repeat(group_start, np.diff(np.r_[group_start, n]))
+    count = every - np.repeat(group_start, np.diff(np.r_[group_start, n]))
+    count[: group_start[1] if len(group_start) > 1 else n] += number
     mark = ~last
     wide[every[mark], length[mark]] = 0xFF
-    wide[every[mark], length[mark] + 1] = (0xD0 + number[mark] % 8).astype(np.uint8)
+    wide[every[mark], length[mark] + 1] = (0xD0 + count[mark] % 8).astype(np.uint8)
     column = np.arange(wide.shape[1])
     flat = wide[column < (length + 2 * mark)[:, None]]
     stuffed = (wide == 0xFF) & (column < length[:, None])
@@ -123,19 +126,28 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     runs = np.array(images) // RUN
     last = np.zeros(runs.sum(), bool)
     last[np.cumsum(runs) - 1] = True
-    scan, sizes = entropy(np.frombuffer(b"".join(payloads), np.uint8), last)
-    cuts = np.r_[0, np.cumsum(np.add.reduceat(sizes, np.r_[0, np.cumsum(runs)[:-1]]))]
-    data, out = scan.tobytes(), [[] for _ in payloads]
+    flat, scans, sizes, number = np.frombuffer(b"".join(payloads), np.uint8), [], [], 0
+    for a in range(0, len(last), step := AT_ONCE // RUN):
+        part = last[a : a + step]
+        scan, size = entropy(flat[a * RUN : (a + step) * RUN], part, number)
+        scans.append(scan.tobytes())
+        sizes.append(size)
+        ends = np.flatnonzero(part)
+        number = len(part) - 1 - int(ends[-1]) if len(ends) else number + len(part)
+    cuts = np.r_[0, np.cumsum(np.add.reduceat(np.concatenate(sizes), np.r_[0, np.cumsum(runs)[:-1]]))]
+    data, out = b"".join(scans), [[] for _ in payloads]
     for k, size, a, b in zip(owner, images, cuts[:-1], cuts[1:], strict=True):
         out[k] += [header(size // WIDTH), data[a:b], b"\xff\xd9"]
     return [b"".join(x) for x in out]
 
 
 class Image(NamedTuple):
-    """What the markers say. parts: (horizontal, vertical, DC table, AC table, quantiser of DC) of each component in the scan's order."""
+    """What the markers say. parts: (horizontal, vertical, DC table, AC table, quantiser of DC) of each component in the order of the scan that holds the first component, the luminance; columns and rows: samples that this scan codes of it, if it codes no other component."""
 
     width: int
     height: int
+    columns: int
+    rows: int
     parts: tuple
     restart: int
     scan: bytes
@@ -146,14 +158,19 @@ def parse(data: bytes, at: int = 0) -> Image:
     """One image that starts at byte `at`."""
     if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("no JPEG starts here")
-    at, quant, tables, frame, restart = at + 2, {}, {}, None, 0
+    at, quant, tables, frame, restart, found = at + 2, {}, {}, None, 0, None
     while True:
-        if at + 4 > len(data) or data[at] != 0xFF:
+        if at + 2 > len(data) or data[at] != 0xFF:
             raise ValueError("a marker is missing")
         if data[at + 1] == 0xFF:
             at += 1
             continue
-        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        kind = data[at + 1]
+        if kind == 0xD9 and found:
+            return found._replace(end=at + 2)
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if size < 2 or at + 2 + size > len(data):
+            raise ValueError("a segment is cut off")
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
         if kind == 0xDB:
@@ -175,20 +192,30 @@ def parse(data: bytes, at: int = 0) -> Image:
         elif kind == 0xDA:
             if frame is None:
                 raise ValueError("a scan comes before its frame")
-            break
+            if not (end := SCAN_END(data, at)):
+                raise ValueError("the scan does not end")
+            found = found or scan_of(frame, body, quant, tables, restart, data[at : end.start()])
+            at = end.start()
+
+
+def scan_of(frame: bytes, head: bytes, quant: dict, tables: dict, restart: int, scan: bytes) -> Image | None:
+    """The image of a scan, if that holds the first component of the frame."""
     depth, height, width, count = struct.unpack(">BHHB", frame[:6])
-    if depth != 8 or body[0] != count or not height or not width:
-        raise ValueError("not a baseline JPEG of one scan")
-    own = {frame[6 + 3 * k]: frame[7 + 3 * k : 9 + 3 * k] for k in range(count)}
+    if depth != 8 or not height or not width:
+        raise ValueError("not a baseline JPEG")
+    own = {frame[6 + 3 * k]: (frame[7 + 3 * k] >> 4, frame[7 + 3 * k] & 15, frame[8 + 3 * k]) for k in range(count)}
+    names = [head[1 + 2 * k] for k in range(head[0])]
+    if frame[6] not in names:
+        return None
+    if names[0] != frame[6] or 1 < len(names) < count:
+        raise ValueError("the scan has some other order of components")
     parts = []
-    for k in range(count):
-        sampling, q = own[body[1 + 2 * k]]
-        dc, ac = divmod(body[2 + 2 * k], 16)
-        parts.append((sampling >> 4, sampling & 15, tables[dc], tables[16 + ac], quant[q]))
-    if not (found := SCAN_END(data, at)):
-        raise ValueError("the scan does not end")
-    end = found.start()
-    return Image(width, height, tuple(parts), restart, data[at:end], end + 2 if data[end + 1] == 0xD9 else end)
+    for k, name in enumerate(names):
+        h, v, q = own[name]
+        dc, ac = divmod(head[2 + 2 * k], 16)
+        parts.append((h, v, tables[dc], tables[16 + ac], quant[q]))
+    most = [max(x[k] for x in own.values()) for k in (0, 1)]
+    return Image(width, height, -(-width * parts[0][0] // most[0]), -(-height * parts[0][1] // most[1]), tuple(parts), restart, scan, 0)
 
 
 def _symbols(table: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -212,24 +239,48 @@ def symbols(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _KEPT[table]
 
 
+#: A restart marker.
+RESTART = re.compile(rb"\xff[\xd0-\xd7]").finditer
+
+
+def bands(im: Image) -> list[Image]:
+    """An image cut into bands of about AT_ONCE blocks, if its rows end where restart intervals do."""
+    across, down = -(-im.columns // 8), -(-im.rows // 8)
+    if len(im.parts) > 1 or across * down <= AT_ONCE or not im.restart or across % im.restart:
+        return [im]
+    each = max(1, AT_ONCE // across)
+    marks = [m.start() for m in RESTART(im.scan)]
+    runs = across // im.restart
+    if len(marks) != runs * down - 1:
+        raise ValueError("restart markers don't fit the frame")
+    cuts = [-2, *marks[runs * each - 1 :: runs * each], len(im.scan)]
+    return [im._replace(rows=8 * min(each, down - k * each), scan=im.scan[a + 2 : b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+
+
 def decode_luminance(images: list[Image]) -> list[np.ndarray]:
-    """The DC-only luminance of each image, one sample for each 8 x 8 block, as uint8."""
-    out: list[np.ndarray] = [np.zeros((0, 0), np.uint8)] * len(images)
+    """The DC-only luminance of each image, one sample for each 8 x 8 block, as uint8. About AT_ONCE blocks are decoded at once."""
+    parts: list[list[np.ndarray]] = [[] for _ in images]
     groups = defaultdict(list)
     for k, im in enumerate(images):
-        groups[im.parts].append(k)
-    for parts, members in groups.items():
-        got = _decode(parts, [images[k] for k in members])
-        for k, x in zip(members, got, strict=True):
-            out[k] = x
-    return out
+        for band in bands(im):
+            groups[im.parts].append((k, band))
+    for tables, members in groups.items():
+        held, blocks = [], 0
+        for n, (k, band) in enumerate(members):
+            held.append((k, band))
+            blocks += band.columns * band.rows // 64
+            if blocks >= AT_ONCE or n == len(members) - 1:
+                for (i, _), x in zip(held, _decode(tables, [b for _, b in held]), strict=True):
+                    parts[i].append(x)
+                held, blocks = [], 0
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in parts]
 
 
 def _decode(parts: tuple, images: list[Image]) -> list[np.ndarray]:
     hmax, vmax, single = max(p[0] for p in parts), max(p[1] for p in parts), len(parts) == 1
     shapes, runs = [], []
     for im in images:
-        across, down = (-(-im.width // 8), -(-im.height // 8)) if single else (-(-im.width // (8 * hmax)), -(-im.height // (8 * vmax)))
+        across, down = (-(-im.columns // 8), -(-im.rows // 8)) if single else (-(-im.width // (8 * hmax)), -(-im.height // (8 * vmax)))
         shapes.append((across, down))
         units = across * down
         each = im.restart or units
@@ -299,8 +350,7 @@ def _decode(parts: tuple, images: list[Image]) -> list[np.ndarray]:
         at += len(own)
         h, v = (1, 1) if single else parts[0][:2]
         grid = flat.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-        bw, bh = -(-(-(-im.width * h // (1 if single else hmax))) // 8), -(-(-(-im.height * v // (1 if single else vmax))) // 8)
-        out.append(grid[:bh, :bw].astype(np.uint8))
+        out.append(grid[: -(-im.rows // 8), : -(-im.columns // 8)].astype(np.uint8))
     return out
 
 
@@ -326,21 +376,37 @@ def thumbnail_hash(luma: np.ndarray) -> str:
     return np.packbits(cells.ravel() > cells.mean()).tobytes().hex()
 
 
+def one_by_one(raw: bytes) -> tuple:
+    """As media_rows for one text, its images stored, read back and hashed one after the other."""
+    whole, media, tail, sizes, feature = hashlib.sha256(), hashlib.sha256(), b"", [0, 0], []
+    for a in range(0, max(1, len(raw)), step := WIDTH * MAX_ROWS):
+        part = raw[a : a + step]
+        stored = encode([pad(part) if a + step >= len(raw) else part])[0]
+        media.update(stored)
+        ((w, h, luma),) = read([stored])[0]
+        payload = luma.tobytes()
+        whole.update(payload)
+        tail, sizes = payload[-32:], [sizes[0] + len(payload), sizes[1] + len(stored)]
+        feature.append(f"{w}x{h}:{thumbnail_hash(luma)}")
+    return len(raw), sizes[0], whole.hexdigest(), zlib.crc32(tail), sizes[1], media.hexdigest(), ";".join(feature)
+
+
+def together(raw: list[bytes]) -> list[tuple]:
+    """As media_rows for short texts, which are coded together."""
+    stored = encode([pad(r) for r in raw])
+    out = []
+    for r, form, own in zip(raw, stored, read(stored), strict=True):
+        payload = b"".join(luma.tobytes() for _, _, luma in own)
+        out.append((len(r), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), ";".join(f"{w}x{h}:{thumbnail_hash(luma)}" for w, h, luma in own)))
+    return out
+
+
 def media_rows(texts: list[str | None]) -> list[list]:
     """The columns n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature; everything of the payload comes from what is read back."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    stored = encode([pad(r) for r in raw])
-    back = read(stored)
-    payloads = [b"".join(luma.tobytes() for _, _, luma in own) for own in back]
-    return [
-        [len(r) for r in raw],
-        [len(p) for p in payloads],
-        [hashlib.sha256(p).hexdigest() for p in payloads],
-        [zlib.crc32(p[-32:]) for p in payloads],
-        [len(s) for s in stored],
-        [hashlib.sha256(s).hexdigest() for s in stored],
-        [";".join(f"{w}x{h}:{thumbnail_hash(luma)}" for w, h, luma in own) for own in back],
-    ]
+    short = iter(together([r for r in raw if len(r) < LONG]))
+    rows = [next(short) if len(r) < LONG else one_by_one(r) for r in raw]
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(7)]
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -106,6 +108,67 @@ def test_colour_with_ac_and_subsampling():
     assert (w, h) == (32, 16) and (luma == want).all()
 
 
+def test_scans_of_single_components():
+    """The luminance in a scan of its own, after one of another component: its blocks are not padded to whole units."""
+    dc_table, ac_table = bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)), bytes([1] + [0] * 15) + bytes(1)
+    want, last, bits, other = np.array([[10, 20, 30], [200, 150, 40]], np.uint8), 0, Bits(), Bits()
+    for x in want.ravel().astype(int) - 128:
+        n, v = value_bits(int(x - last))
+        last = int(x)
+        bits.put(n, 4), bits.put(v, n), bits.put(0, 1)
+    for _ in range(2):
+        other.put(0, 4), other.put(0, 1)
+    frame = jpeg.segment(0xC0, struct.pack(">BHHB", 8, 16, 20, 2) + b"\x01\x22\0\x02\x11\0")
+    data = b"\xff\xd8" + jpeg.segment(0xDB, b"\0" + b"\x08" * 64) + frame + jpeg.segment(0xC4, b"\0" + dc_table + b"\x10" + ac_table)
+    data += jpeg.segment(0xDA, b"\x01\x02\0\0\x3f\0") + other.done() + jpeg.segment(0xDA, b"\x01\x01\0\0\x3f\0") + bits.done() + b"\xff\xd9"
+    ((w, h, luma),) = jpeg.read([data])[0]
+    assert (w, h) == (20, 16) and (luma == want).all()
+
+
+def plain_hash(luma):
+    """Cells of the 8 x 8 grid one after the other; a cell without rows or columns has those at its start."""
+    (h, w), cells = luma.shape, []
+    for y in range(8):
+        for x in range(8):
+            ys = range(y * h // 8, max((y + 1) * h // 8, y * h // 8 + 1))
+            xs = range(x * w // 8, max((x + 1) * w // 8, x * w // 8 + 1))
+            cells.append(sum(int(luma[a, b]) for a in ys for b in xs) / (len(ys) * len(xs)))
+    mean = sum(cells) / 64
+    return f"{int(''.join('1' if c > mean else '0' for c in cells), 2):016x}"
+
+
+def test_feature_against_plain():
+    texts = ["a", "", None, "some text " * 400, "\U0001f600é" * 3000, "z" * 5000 + "A" * 5000]
+    got = jpeg.media_rows(texts)[-1]
+    for t, feature in zip(texts, got):
+        p = padded((t or "").encode())
+        luma = np.frombuffer(p, np.uint8).reshape(-1, 576)
+        assert feature == f"4608x{8 * len(luma)}:{plain_hash(luma)}"
+
+
+def test_slices_change_nothing(monkeypatch):
+    """Coded and read in slices and bands, and text by text, everything is as it is at once."""
+    r = np.random.default_rng(5)
+    texts = ["".join(map(chr, r.integers(32, 1000, n))) for n in (10, 5000, 0, 20_000)]
+    want = jpeg.media_rows(texts)
+    stored = jpeg.encode([padded(t.encode()) for t in texts])
+    for at_once, long in ((24 * 5, 1 << 18), (24 * 24 * 3, 1), (24, 3000)):
+        monkeypatch.setattr(jpeg, "AT_ONCE", at_once)
+        monkeypatch.setattr(jpeg, "LONG", long)
+        assert jpeg.media_rows(texts) == want and jpeg.encode([padded(t.encode()) for t in texts]) == stored
+    monkeypatch.setattr(jpeg, "MAX_ROWS", 3)
+    whole = jpeg.media_rows(texts)
+    monkeypatch.setattr(jpeg, "LONG", 1 << 18)
+    assert jpeg.media_rows(texts) == whole
+
+
+def test_memory_of_a_long_text():
+    """A text of 60 MB takes the text, its bytes and under 100 MB more."""
+    code = "import resource\nfrom quire.llm import jpeg\npeak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024\njpeg.media_rows(['warm up'])\nt = 'some words and 7 more ' * 2_750_000\nbefore = peak()\nrow = jpeg.media_rows([t])\nassert row[0] == [60_500_000] and row[1][0] % 576 == 0\nprint(peak() - before)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 60 + 100
+
+
 def test_broken_files(spark):
     good = jpeg.encode([padded(b"x")])[0]
     rows = [(1, good), (2, b"no image"), (3, None), (4, good[:-40]), (5, good.replace(b"\xff\xc0", b"\xff\xc2")), (6, good + good)]
