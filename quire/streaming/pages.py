@@ -44,7 +44,11 @@ def pages_of_batches(docs: DataFrame) -> DataFrame:
     from ..sources.sinks import with_pdf
 
     spark = docs.sparkSession
-    arriving = spark.readStream.schema(docs.schema).parquet(*{f.rsplit("/", 1)[0] + "/*" + f.rsplit("/", 1)[1] for f in docs.inputFiles()})
+    files = docs.inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    if len(folders) != 1:
+        raise ValueError("the files must lie in one folder")
+    arriving = spark.readStream.schema(docs.schema).parquet(f"{folders.pop()}/*{files[0].rsplit('/', 1)[1] if len(files) == 1 else '.parquet'}")
     folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     to_table(from_table(with_pdf(arriving), "doc_id", "pdf").legacy_pages(), f"{folder}/pages", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/pages")

@@ -213,6 +213,13 @@ def test_stream(spark, folder, tmp_path):
     assert "".join(t for d, _, t in seen if d.endswith("a.pdf")) == batch
 
 
+def test_documents_that_arrive_in_several_files(spark, tmp_path):
+    docs = spark.range(20).selectExpr("id as doc_id", "concat('one two ', id) as text")
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    pages = streaming.pages_of_batches(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted(r.text.split() for r in pages.collect()) == sorted(["one", "two", str(k)] for k in range(20))
+
+
 def test_streamed_pages_make_the_document(spark, folder):
     corpus = reader.read_pdf(spark, str(folder))
     joined = {r.doc_id: r.text for r in streaming.document_text(corpus.legacy_pages()).collect()}
