@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, map_arrow, removed, stored
+from .common import cut, freed, map_arrow, removed, stored
 from .components import components
 
 SHINGLE, SEED = 5, 42
@@ -282,18 +282,18 @@ def listed(found: list[np.ndarray]) -> pa.RecordBatch:
 def verified(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     """The pairs u, v of keys whose texts are similar."""
 
-    def make_sets():
-        shingles = shingler()
-        return lambda cols: [cols[0], [shingles(t).tobytes() for t in cols[1]]]
-
     def make():
-        def similar(a: bytes, b: bytes) -> bool:
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 5 * both >= 4 * (len(x) + len(y) - both)
+        shingles, last = shingler(), [None, None]
+
+        def similar(x: str, v: int, y: str) -> bool:
+            if v != last[0]:  # rows come sorted by v
+                last[:] = v, shingles(y)
+            a, b = shingles(x), last[1]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return 5 * both >= 4 * (len(a) + len(b) - both)
 
         def work(cols):
-            ok = [k for k, (a, b) in enumerate(zip(cols[2], cols[3], strict=True)) if similar(a, b)]
+            ok = [k for k, (_, v, x, y) in enumerate(zip(*cols, strict=True)) if similar(x, v, y)]
             return [[cols[0][k] for k in ok], [cols[1][k] for k in ok]]
 
         return work
@@ -302,8 +302,8 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
     texts = docs.select("_key", F.col(text_col).alias("_text")).join(wanted, "_key", "left_semi")
-    sets = map_arrow(texts, make_sets, "key bigint, s binary", text="_text", batch_bytes=1 << 20).dropDuplicates(["key"])
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("y")), "v")
+    texts = texts.dropDuplicates(["_key"])
+    both = pairs.join(texts.select(F.col("_key").alias("u"), F.col("_text").alias("x")), "u").join(texts.select(F.col("_key").alias("v"), F.col("_text").alias("y")), "v")
     return cut(map_arrow(both.select("u", "v", "x", "y"), make, "u bigint, v bigint", text="x"))
 
 
@@ -347,10 +347,10 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without near copies: of each component one row, of its smallest id."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(SEED), F.coalesce(F.col(text_col), F.lit(""))))
-    roots = components(links(keyed, text_col))
-    first = keyed.groupBy("_key").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("first"))
-    rooted = first.join(roots, first._key == roots.node, "left").select(F.coalesce("root", "_key").alias("root"), F.struct("first.none", "first.id", "_key").alias("first"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first._key").alias("_kept"))
-    one = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept")), "left_semi")
-    return one.dropDuplicates([id_col, "_key"]).select(*docs.columns)
+    keyed = docs.withColumn("_key", F.xxhash64(F.lit(SEED), F.coalesce(F.col(text_col), F.lit("")))).withColumn("_row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_key"))
+    with freed(docs.sparkSession):
+        roots = cut(components(links(keyed, text_col)))
+    first = keyed.groupBy("_key").agg(F.min("_row").alias("first"))
+    rooted = first.join(roots, first._key == roots.node, "left").select(F.coalesce("root", "_key").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("_row")).select("_row")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

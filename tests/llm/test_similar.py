@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
@@ -107,3 +108,18 @@ def test_rows_that_share_an_id(spark):
     x, y = "a b c d e f g", "p q r s t u v"
     df = spark.createDataFrame([(3, x), (5, x), (5, y), (None, "only here"), (None, "only here"), (None, y)], "doc_id bigint, text string")
     assert sorted(map(tuple, similar.keep_one(df).collect()), key=str) == [(3, x), (5, y), (None, "only here")]
+
+
+def test_shuffles_are_deleted(spark, corpus):
+    """No shuffle file stays when the links are found, whether or not the driver has collected garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    held = files()
+    similar.keep_one(corpus)
+    assert spark.conf.get(name) == before
+    for _ in range(50):
+        if files() <= held:
+            break
+        time.sleep(0.2)
+    assert files() <= held
