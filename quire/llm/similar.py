@@ -1,6 +1,10 @@
 """Near copies by Jaccard similarity: all pairs of texts whose sets of five-word shingles have a similarity of 4/5 or more, and the components that these pairs make.
 
-A SimHash makes such pairs likely to be found, whatever its length, but doesn't guarantee them: at 64 bits they differ by about ten. So the inverted index holds shingles instead of positional bytes, lists give candidates, and what candidates share in all is counted on whole sets.
+Such pairs are found by SimHash with an inverted index over positional bytes and count filtering, and verified on whole sets. No SimHash guarantees them (of 128 bits they differ by about 19), so an exact check of what fingerprints leave apart follows, by an index over shingles.
+
+SimHash: a fingerprint has BYTES bytes. Texts are posted under two equal bytes of one half; in these lists those of the other positions are made, so what meets shares SHARED = 3 positional bytes, and any three have two in one half. Members are verified bit by bit against the next one of their list, in BITS bits. Of the retained pairs each text's closest one is verified on whole sets, then each component's, in CLOSEST rounds. A list of over MEMBERS texts is looked at in parts; what that or these rounds leave out, the exact check finds.
+
+Exact check of the rest:
 
 1. All texts sort their shingles by one order, rare ones first (a table of 2**20 counters, so the order is rough, which costs time but no pairs). If two sets of n and m shingles share 4/9 of n + m, they share one of the first n - ceil(4 n / 5) + 1 in this order. Only these are posted.
 2. Chains: the members of each list, in one order for all lists, are linked with the RING next ones. Lists of near copies have nearly the same members, so these links are few, however many lists repeat them. They are verified and become components: a group of near copies is one component from here on, and no list emits its pairs.
@@ -17,6 +21,7 @@ Edge cases: a text of at most five words is one shingle; null and empty texts an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ SHINGLE, SEED = 5, 42
 RING, BLOCK, LOOK = 2, 1024, 4
 #: Words of 64 parities in a sketch, and rounds in which components are linked by their most alike members.
 SKETCH, NEAREST = 4, 1
+#: Rounds in which each component grows by its closest retained pair.
+CLOSEST = 2
 #: Counters of the order, and parts in which they are summed.
 COUNTERS, PARTS = 1 << 20, 64
 #: Words whose hashes a task keeps, and pairs that it holds at once.
@@ -37,6 +44,12 @@ KEPT, PAIRS = 1 << 17, 1 << 16
 #: So many keys are sent to all executors, so that texts not asked for aren't shuffled.
 FEW = 1 << 20
 PARITIES, BEFORE = [f"s{k}" for k in range(SKETCH)], [f"b{k}" for k in range(LOOK)]
+#: A fingerprint has 64 bits for each salt. Pairs that share SHARED of its positional bytes and differ in at most BITS bits are retained.
+SALTS, SHARED, BITS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 3, 36
+PRINTS = [f"f{k}" for k in range(len(SALTS))]
+BYTES = 8 * len(PRINTS)
+#: Lists have two positions in one half of the fingerprint: of any three positions two are in the same half. MEMBERS of a list are looked at together.
+BLOCKS, MEMBERS = [b for k in range(len(PRINTS)) for b in combinations(range(8 * k, 8 * k + 8), 2)], 1 << 15
 
 
 def least(n):
@@ -44,17 +57,18 @@ def least(n):
     return -(-4 * n // 5)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def shingler(distinct: bool = True) -> Callable[[str | None], np.ndarray]:
     """A function from a text to its sorted distinct shingles, or to all of them in their order."""
     from xxhash import xxh64_intdigest
 
     known: dict[bytes, int] = {}
 
-    def mixed(h: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
     def shingles(text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if len(words) < SHINGLE:
@@ -106,8 +120,17 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles: a number for each of SALTS, whose bits are set in over half the shingles' hashes."""
+    total, step = np.zeros(64 * len(SALTS), np.int64), 1 << 16
+    for a in range(0, len(h), step):
+        wide = np.stack([mixed(h[a : a + step] ^ np.uint64(salt)) for salt in SALTS], axis=1)
+        total += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * total > len(h)).view(np.int64)
+
+
 def postings(docs: DataFrame, level: np.ndarray, text_col: str) -> DataFrame:
-    """h, key, n (size of the whole set) and place in the order for the first shingles of each text, and one row with a null h and the sketch. A task posts a text once; other tasks may post it again."""
+    """h, key, n (size of the whole set) and place in the order for the first shingles of each text, and one row with a null h, the sketch and the fingerprint. A task posts a text once; other tasks may post it again."""
 
     def make():
         shingles, seen = shingler(), set()
@@ -125,18 +148,18 @@ def postings(docs: DataFrame, level: np.ndarray, text_col: str) -> DataFrame:
                 keys.append(np.full(len(first) + 1, key, np.int64))
                 ns.append(np.full(len(first) + 1, n, np.int32))
                 places.append(np.r_[np.arange(len(first)), -1])
-                parities.append(sketch(h))
+                parities.append(np.r_[sketch(h), fingerprint(h)])
             if not hs:
-                return [[] for _ in range(4 + SKETCH)]
+                return [[] for _ in range(4 + len(PARITIES + PRINTS))]
             place = np.concatenate(places)
             own = place < 0
-            wide = np.zeros((len(place), SKETCH), np.int64)
+            wide = np.zeros((len(place), len(PARITIES + PRINTS)), np.int64)
             wide[own] = parities
-            return [pa.array(np.concatenate(hs).view(np.int64), mask=own), np.concatenate(keys), np.concatenate(ns), place.astype(np.int32), *[pa.array(wide[:, k].copy(), mask=~own) for k in range(SKETCH)]]
+            return [pa.array(np.concatenate(hs).view(np.int64), mask=own), np.concatenate(keys), np.concatenate(ns), place.astype(np.int32), *[pa.array(wide[:, k].copy(), mask=~own) for k in range(wide.shape[1])]]
 
         return work
 
-    return map_arrow(docs.select("_key", F.col(text_col).alias("_text")), make, "h bigint, key bigint, n int, place int, " + ", ".join(f"{c} bigint" for c in PARITIES), text="_text", batch_bytes=1 << 20)
+    return map_arrow(docs.select("_key", F.col(text_col).alias("_text")), make, "h bigint, key bigint, n int, place int, " + ", ".join(f"{c} bigint" for c in PARITIES + PRINTS), text="_text", batch_bytes=1 << 20)
 
 
 def close(n, m, p, q):
@@ -164,6 +187,58 @@ def whole_lists(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[n
         yield [np.concatenate([d[k] for d in held]) for k in range(width)]
 
 
+def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Retained pairs u, v, with the number of bits in which they differ, of rows (list, key, fingerprint) sorted by the first two. A list has the fingerprints with two equal bytes (its block is list >> 16); in it the lists of the other positions are made, so members of these share SHARED bytes, and each is verified against the next one. A pair is told by the first block that it shares."""
+    places = np.array(BLOCKS)
+    for cols in whole_lists(batches, 1):
+        for a, b in runs(cols[0]):
+            of, key = cols[0][a:b], cols[1][a:b]
+            new = np.r_[True, (np.diff(of) != 0) | (np.diff(key) != 0)]
+            of, key, prints = of[new], key[new], np.stack([c[a:b][new] for c in cols[2:]], axis=1)
+            octets = prints.view(np.uint8)
+            number = np.cumsum(np.r_[False, np.diff(of) != 0])
+            block = of >> 16
+            found = []
+            for k in range(BYTES):
+                # Three positions in one half are made once, from the first two of them.
+                rows = np.flatnonzero((k // 8 != places[block, 0] // 8) | (k > places[block, 1]))
+                code = ((number[rows] << 8) | octets[rows, k]).astype(np.uint16)
+                order = np.argsort(code, kind="stable")
+                rows, code = rows[order], code[order]
+                at = np.flatnonzero(code[1:] == code[:-1])
+                found.append(np.stack([rows[at], rows[at + 1]]))
+            x, y = np.unique(np.concatenate(found, axis=1), axis=1)
+            differ = np.bitwise_count((prints[x] ^ prints[y]).view(np.uint64)).sum(1, dtype=np.int32)
+            x, y, differ = x[differ <= BITS], y[differ <= BITS], differ[differ <= BITS]
+            same = octets[x] == octets[y]
+            first = np.argmax(same[:, places[:, 0]] & same[:, places[:, 1]], axis=1) == block[x]
+            x, y, differ = x[first], y[first], differ[first]
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(key[x], key[y])), "v": pa.array(np.maximum(key[x], key[y])), "differ": pa.array(differ)})
+
+
+def runs(of: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of sorted numbers: 256 different ones at most, and MEMBERS rows at most unless one number has more, which is cut."""
+    starts = np.flatnonzero(np.r_[True, np.diff(of) != 0])
+    ends, a = np.r_[starts[1:], len(of)], 0
+    while a < len(starts):
+        b = max(a + 1, min(a + 256, int(np.searchsorted(ends, starts[a] + MEMBERS, "right"))))
+        for c in range(int(starts[a]), int(ends[b - 1]), MEMBERS):
+            yield c, min(c + MEMBERS, int(ends[b - 1]))
+        a = b
+
+
+def alike(prints: DataFrame) -> DataFrame:
+    """Pairs u, v of keys, and in how many bits they differ, whose fingerprints share SHARED positional bytes and differ in at most BITS bits, by an inverted index over these bytes."""
+
+    def octet(k: int) -> Column:
+        return F.shiftrightunsigned(PRINTS[k // 8], 8 * (k % 8)).bitwiseAND(F.lit(255))
+
+    lists = F.array(*[(F.lit(n << 16) + octet(i) * 256 + octet(j)).cast("int") for n, (i, j) in enumerate(BLOCKS)])
+    rows = prints.select(F.explode(lists).alias("list"), "key", *PRINTS).repartition("list").sortWithinPartitions("list", "key")
+    return rows.mapInArrow(tallied, "u bigint, v bigint, differ int").distinct()
+
+
 #: Rows of the pass over the lists: a pair (u, v), and a member of a list (h, key, size, place).
 LINK, MEMBER = 0, 1
 
@@ -317,17 +392,37 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ring, each = RING, BLOCK
     posted = stored(postings(docs, levels(docs, text_col), text_col))
     sketches = posted.where("h is null").select("key", "n", *PARITIES).dropDuplicates(["key"])
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches don't speak against them."""
+        both = pairs.join(sketches.alias("x"), F.col("u") == F.col("x.key")).join(sketches.alias("y"), F.col("v") == F.col("y.key"))
+        return both.where(9 * differing("x", "y") <= F.col("x.n") + F.col("y.n")).select(*[pairs[c] for c in pairs.columns])
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs that no component has yet, with the components of their ends."""
+        for end in ("u", "v"):
+            pairs = pairs.join(some.select(F.col("u").alias(end), F.col("v").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+        return pairs.where("u_root <> v_root")
+
+    def grown(pairs: DataFrame) -> DataFrame:
+        """Components as edges u, v from each text to its root: what holds of `pairs` goes in, and the pairs themselves aren't kept."""
+        return components(pairs).select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+    retained = cut(possible(alike(posted.where("h is null").select("key", *PRINTS))))
+    some = cut(retained.select("u", "v").limit(0))
+    for _ in range(CLOSEST):
+        ends = apart(retained).withColumn("root", F.explode(F.array("u_root", "v_root")))
+        closest = ends.groupBy("root").agg(F.min(F.struct("differ", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+        some = grown(some.unionByName(verified(docs, cut(closest), text_col)))
     lists = posted.where("h is not null").select("h", "key", "n", "place").repartitionByRange("h", "key").sortWithinPartitions("h", "key")
     seen = stored(lists.mapInArrow(lambda batches: chains(batches, ring), "kind int, a bigint, b bigint, n int, place int"))
-    pairs = seen.where(F.col("kind") == LINK).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    near = pairs.join(sketches.alias("x"), F.col("u") == F.col("x.key")).join(sketches.alias("y"), F.col("v") == F.col("y.key")).where(9 * differing("x", "y") <= F.col("x.n") + F.col("y.n"))
-    some = verified(docs, cut(near.select("u", "v")), text_col)
+    chained = seen.where(F.col("kind") == LINK).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    some = grown(some.unionByName(verified(docs, cut(possible(apart(chained).select("u", "v"))), text_col)))
     members = seen.where(F.col("kind") == MEMBER).select(F.col("a").alias("h"), F.col("b").alias("key"), "n", "place")
 
     def across(nearest: bool) -> DataFrame:
         """Pairs of members of several components that share a list."""
-        roots = components(some)
-        rooted = members.join(roots, members.key == roots.node, "left").select("h", "key", "n", "place", F.coalesce("root", "key").alias("root"))
+        rooted = members.join(some, members.key == some.u, "left").select("h", "key", "n", "place", F.coalesce("v", "key").alias("root"))
         several = rooted.groupBy("h").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h", F.ceil(F.col("size") / each).alias("blocks"))
         open_ = rooted.join(several, "h").join(sketches.select("key", *PARITIES), "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
         # The lists before, of those that are looked at; where there are none, a number of the member's own.
@@ -339,7 +434,7 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return cut(found.distinct())
 
     for _ in range(NEAREST):
-        some = cut(some.unionByName(verified(docs, across(True), text_col)))
+        some = grown(some.unionByName(verified(docs, across(True), text_col)))
     out = cut(some.unionByName(verified(docs, across(False), text_col)))
     removed(posted, seen)
     return out

@@ -110,6 +110,52 @@ def test_rows_that_share_an_id(spark):
     assert sorted(map(tuple, similar.keep_one(df).collect()), key=str) == [(3, x), (5, y), (None, "only here")]
 
 
+def prints(rows):
+    return np.array(rows, np.uint64).view(np.int64).tolist()
+
+
+def test_positional_bytes(spark, monkeypatch):
+    """Of fingerprints that lie apart, just those pairs are retained that share three positional bytes and differ in at most BITS bits; long lists are cut, and lists of copies are chained."""
+    r = np.random.default_rng(3)
+    rows = []
+    for _ in range(300):
+        one = r.integers(0, 256, similar.BYTES, dtype=np.uint8)
+        two = one.copy()
+        for k in r.permutation(similar.BYTES)[: r.integers(8, 15)]:
+            two[k] ^= np.bitwise_or.reduce(np.uint8(1) << r.integers(0, 8, r.integers(1, 5), dtype=np.uint8))
+        rows += [one, two]
+    octets = np.array(rows)
+    values = octets.view(np.uint64)
+    shared = (octets[:, None] == octets[None]).sum(2)
+    differ = np.bitwise_count(values[:, None] ^ values[None]).sum(2)
+    want = {(i, j) for i, j in zip(*np.nonzero((shared >= 3) & (differ <= similar.BITS))) if i < j}
+    assert 100 < len(want) < 300 and ((shared >= 3) & (differ > similar.BITS)).any() and (shared[::2, 1::2].diagonal() == 2).any()
+    table = spark.createDataFrame([(k, *prints(v)) for k, v in enumerate(values)], "key bigint, f0 bigint, f1 bigint").repartition(3)
+    assert {(p.u, p.v) for p in similar.alike(table).collect()} == want
+    one = spark.createDataFrame([(k, 7, k % 2) for k in range(100)], "key bigint, f0 bigint, f1 bigint")
+    pairs = {(p.u, p.v) for p in similar.alike(one).collect()}
+    assert {(k, k + 1) for k in range(99)} <= pairs and len(pairs) < 200
+    assert [list(similar.runs(np.array(x))) for x in ([1, 1, 2], [])] == [[(0, 3)], []]
+    monkeypatch.setattr(similar, "MEMBERS", 2)
+    assert list(similar.runs(np.array([1, 1, 1, 2, 3, 4]))) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+
+
+def test_fingerprints_find_most_pairs(corpus, spark):
+    """The index over fingerprints alone shows most similar pairs of sf0.1; the lists of shingles are for the rest."""
+    texts = sorted({t.text or "" for t in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()})
+    hashes = similar.shingler()
+    sets = [shingles(t) for t in texts]
+    owners = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            owners[x].append(k)
+    near = {(i, j) for own in owners.values() if len(own) < 50 for i in own for j in own if i < j}
+    near = {(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    table = spark.createDataFrame([(k, *similar.fingerprint(hashes(t)).tolist()) for k, t in enumerate(texts)], "key bigint, f0 bigint, f1 bigint")
+    found = {(p.u, p.v) for p in similar.alike(table).collect()}
+    assert near and len(near & found) >= 0.9 * len(near)
+
+
 def test_shuffles_are_deleted(spark, corpus):
     """No shuffle file stays when the links are found, whether or not the driver has collected garbage."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
