@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -157,3 +158,31 @@ def test_one_row_of_each_component(spark):
     x, y = "a b c d e f g", "p q r s t u v"
     df = spark.createDataFrame([(3, x), (5, x), (5, y), (None, "only here"), (None, "only here"), (None, y)], "doc_id bigint, text string")
     assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == [(3, x), (5, y), (None, "only here")]
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    """Both ways agree with plain search; of few edges the whole takes a few jobs, however long their chains are."""
+    r = random.Random(8)
+    nodes = [r.randrange(-(2**63), 2**63) for _ in range(900)]
+    edges = [(nodes[k], nodes[k + 1]) for k in range(300)] + [(nodes[400], x) for x in nodes[401:600]] + [tuple(r.sample(nodes[600:], 2)) for _ in range(160)] + [(nodes[0], nodes[0])]
+    near = defaultdict(set)
+    for u, v in edges:
+        near[u].add(v)
+        near[v].add(u)
+    want = {}
+    for start in sorted(near):
+        todo = [start]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = start
+                todo += near[x]
+    table = spark.createDataFrame(edges + [e[::-1] for e in edges[::7]], "u bigint, v bigint").repartition(5)
+    spark.sparkContext.setJobGroup("one task", "")
+    try:
+        got = {x.node: x.root for x in components.components(table).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one task"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {x: root for x, root in want.items() if x != root} and jobs < 15
+    monkeypatch.setattr(components, "EDGES", 100)
+    assert {x.node: x.root for x in components.components(table).collect()} == got
