@@ -40,8 +40,7 @@ def to_table(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def pages_of_batches(docs: DataFrame) -> DataFrame:
     """Stream-order text of the pages of documents (a DataFrame over Parquet files) that are read as a stream of files, made into PDF files and read on the way. The result is a table in the shared folder."""
-    from ..sources.reader import from_table
-    from ..sources.sinks import with_pdf
+    from ..sources.sinks import pdf_corpus
 
     spark = docs.sparkSession
     files = docs.inputFiles()
@@ -50,7 +49,7 @@ def pages_of_batches(docs: DataFrame) -> DataFrame:
         raise ValueError("the files must lie in one folder")
     arriving = spark.readStream.schema(docs.schema).parquet(f"{folders.pop()}/*{files[0].rsplit('/', 1)[1] if len(files) == 1 else '.parquet'}")
     folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    to_table(from_table(with_pdf(arriving), "doc_id", "pdf").legacy_pages(), f"{folder}/pages", f"{folder}/checkpoint").awaitTermination()
+    to_table(pdf_corpus(arriving).legacy_pages(), f"{folder}/pages", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/pages")
 
 
